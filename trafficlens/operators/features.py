@@ -85,25 +85,23 @@ AGENT_SCORE = "llm_llm_score"
 SESSION_COLUMNS = ("session_id", "traffic_class", "label", "user_agent", "ip", "asn", "last_url",
                    "start_ms", "end_ms", "n_requests")
 
-_AT = F.struct("timestamp_ms", "request_id")
-
 # Values of the whole session that rows carry. They are constant in a session, so they serve as
 # grouping keys: strings stay out of the aggregation buffers, which keeps hash aggregation.
 ABOUT = {
-    "n_requests": F.count(F.lit(1)),
-    "t_first": F.min("timestamp_ms"),
-    "t_last": F.max("timestamp_ms"),
-    "traffic_class": F.max("row_class"),
-    "label": F.max("row_label"),
-    "ip": F.max("row_ip"),
-    "asn": F.max("row_asn"),
-    "agent_min": F.min("row_agent"),
-    "agent_max": F.max("row_agent"),
-    "user_agent": F.min_by("row_agent", _AT),
-    "last_url": F.max_by("url", _AT),
-    "first_n_headers": F.min_by("n_headers", _AT),
+    "n_requests": "count(1)",
+    "t_first": "min(timestamp_ms)",
+    "t_last": "max(timestamp_ms)",
+    "traffic_class": "max(row_class)",
+    "label": "max(row_label)",
+    "ip": "max(row_ip)",
+    "asn": "max(row_asn)",
+    "agent_min": "min(row_agent)",
+    "agent_max": "max(row_agent)",
+    "user_agent": "min_by(row_agent, struct(timestamp_ms, request_id))",
+    "last_url": "max_by(url, struct(timestamp_ms, request_id))",
+    "first_n_headers": "min_by(n_headers, struct(timestamp_ms, request_id))",
 }
-TOTALS = ABOUT | {"resp_mean": F.avg("resp_size")}
+TOTALS = ABOUT | {"resp_mean": "avg(resp_size)"}
 
 
 def _narrow(requests: DataFrame) -> DataFrame:
@@ -208,10 +206,9 @@ ORDERED: Measures = {
 }
 
 
-def _picks() -> dict[str, Column]:
-    """Session values as mergeable aggregates, where no window provides them."""
-    dev2 = F.expr("power(coalesce(stddev_samp(resp_size), 0D), 2) * greatest(count(1) - 1, 1)")
-    return ABOUT | {"resp_dev2": dev2}
+# session values as mergeable aggregates, where no window provides them
+PICKS = ABOUT | {
+    "resp_dev2": "power(coalesce(stddev_samp(resp_size), 0D), 2) * greatest(count(1) - 1, 1)"}
 
 
 def _merge(measures: Measures) -> list[Column]:
@@ -232,9 +229,9 @@ def _aggregate(rows: DataFrame, need: Family) -> DataFrame:
         session += list(ABOUT)
 
     if not need.urls:
-        picks = {} if need.order else _picks()
+        picks = {} if need.order else PICKS
         return rows.groupBy(*session).agg(*_merge(measures | _url_weighted("1L")),
-                                          *[c.alias(k) for k, c in picks.items()])
+                                          *[F.expr(f"{v} as {k}") for k, v in picks.items()])
 
     by_url = rows.groupBy(*session, "url").agg(*_merge(measures))
     url_level = _again(measures) | _url_weighted("n") | PER_URL

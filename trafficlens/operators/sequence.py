@@ -60,11 +60,11 @@ def _context_rows(part: DataFrame, offsets: DataFrame, keys: Sequence[str],
 
 
 def with_history(part: DataFrame, lags: dict[str, int] | None = None,
-                 totals: dict[str, Column] | None = None,
+                 totals: dict[str, str] | None = None,
                  keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """Adds rn (1-based position in the key), earlier values of `lags` and per-key `totals`.
 
-    `totals` are aggregates over the whole key, such as {"n": F.count(F.lit(1))}.
+    `totals` are aggregates over the whole key as SQL, such as {"n": "count(1)"}.
     """
     lags, totals = lags or {}, totals or {}
     if CHUNK not in part.columns:
@@ -72,7 +72,7 @@ def with_history(part: DataFrame, lags: dict[str, int] | None = None,
         whole = Window.partitionBy(*keys)
         seen = part.select("*", F.row_number().over(ordered).cast("bigint").alias("rn"),
                            *_lag_columns(lags, ordered))
-        return seen.select("*", *[c.over(whole).alias(n) for n, c in totals.items()])
+        return seen.select("*", *[F.expr(c).over(whole).alias(n) for n, c in totals.items()])
 
     depth = max(lags.values(), default=0)
     offsets = _chunk_offsets(part, keys)
@@ -89,7 +89,7 @@ def with_history(part: DataFrame, lags: dict[str, int] | None = None,
                         - F.least(F.lit(depth), F.col("_before")))
             .drop("_context", "_local", "_before", "_rows"))
     if totals:
-        whole = part.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
+        whole = part.groupBy(*keys).agg(*[F.expr(c).alias(n) for n, c in totals.items()])
         seen = seen.join(F.broadcast(whole), list(keys))
     return seen
 

@@ -1 +1 @@
-"""Plans of the package."""
+"""Whole jobs, the query catalog and the SQL that checks it."""

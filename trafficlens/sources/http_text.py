@@ -148,9 +148,14 @@ def cap_requests(numbered: DataFrame, max_sessions: int | None, session_size: in
     return numbered if not max_sessions else numbered.filter(F.col("row_no") <= max_sessions * session_size)
 
 
-def attack_breakdown(parsed: DataFrame) -> DataFrame:
-    """Requests per attack type, most frequent first."""
-    kinds = parsed.select(attack_type(F.concat_ws(" ", "url", F.coalesce("body", F.lit("")))).alias("attack_type"))
+def request_text(parsed: DataFrame) -> Column:
+    """What signatures are searched in: url and body."""
+    return F.concat_ws(" ", parsed["url"], F.coalesce(parsed["body"], F.lit("")))
+
+
+def attack_breakdown(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """Rows per attack type, most frequent first; the text of parsed requests unless given."""
+    kinds = rows.select(attack_type(request_text(rows) if text is None else text).alias("attack_type"))
     return (kinds.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n_requests"))
             .orderBy(F.desc("n_requests"), "attack_type"))
 
