@@ -407,6 +407,15 @@ w as (select user_key, session_no::bigint as session_no, count(*) as n_requests,
                   over (partition by ip order by t_ms rows unbounded preceding) as island from k)
             select ip, min(t_ms) as blocked_from_ms, max(t_ms) + 3600000 as blocked_until_ms, count(*) as n_blocks
             from l group by ip, island""",
+        "live_blocks": f"""{det},
+            k as (select ip, end_ms::bigint as t_ms, lag(end_ms::bigint) over (partition by ip order by end_ms) as before
+                  from ({general}) where action = 'block'),
+            l as (select *, sum(case when before is null or t_ms - before >= 3600000 then 1 else 0 end)
+                  over (partition by ip order by t_ms rows unbounded preceding) as island from k),
+            i as (select ip, island, min(t_ms) as blocked_from_ms, max(t_ms) + 3600000 as blocked_until_ms,
+                         count(*) as n_blocks from l group by ip, island)
+            select ip, blocked_from_ms, blocked_until_ms, n_blocks from i
+            qualify row_number() over (partition by ip order by island desc) = 1""",
         # evaluation
         "scores_by_class": f"""{det} select traffic_class, {_t('avg(stat)', 'statistical_score')}, 0.0::double as isolation_score,
             0.0::double as gb_score, {_t('avg(agent)', 'llm_score')}, {_t('avg(risk)', 'risk_score')} from x group by traffic_class""",

@@ -20,8 +20,19 @@ BLOCK_SCHEMA = "ip string, blocked_from_ms bigint, blocked_until_ms bigint, n_bl
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def merge_blocks(blocks: list[tuple]) -> list[tuple]:
+    """Blocks (from, until, count) in time order, joined where one starts before the last ends."""
+    joined: list[tuple] = []
+    for since, until, n in sorted(blocks):
+        if joined and since < joined[-1][1]:
+            before = joined.pop()
+            since, until, n = before[0], max(before[1], until), before[2] + n
+        joined.append((since, until, n))
+    return joined
+
+
 class BlockRegistry(StatefulProcessor):
-    """Per address: start and end of the running block. A new block while one runs extends it."""
+    """Per address: start, end and count of the latest block; a block inside it extends it."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
@@ -31,14 +42,15 @@ class BlockRegistry(StatefulProcessor):
         self.block = handle.getValueState("block", "since bigint, until bigint, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        found = self.block.get() if self.block.exists() else None
-        since, until, n = found if found else (None, None, 0)
-        # chunks of one key arrive one by one; only first, last and count of a chunk matter
+        blocks = [self.block.get()] if self.block.exists() else []
+        # rows of a key come in chunks; a chunk shrinks to its blocks, which are a ttl apart
         for chunk in rows:
-            first, last = int(chunk["at_ms"].min()), int(chunk["at_ms"].max())
-            if until is None or first >= until:
-                since, until, n = first, first, 0
-            since, until, n = min(since, first), max(until, last + self.ttl_ms), n + len(chunk)
+            times = chunk["at_ms"].sort_values()
+            run = (times.diff() >= self.ttl_ms).cumsum()
+            found = times.groupby(run).agg(["min", "max", "count"])
+            blocks += [(int(a), int(b) + self.ttl_ms, int(n)) for a, b, n in found.itertuples(index=False)]
+            blocks = merge_blocks(blocks)
+        since, until, n = blocks[-1]
         self.block.update((since, until, n))
         self.handle.registerTimer(until)
         yield pd.DataFrame({"ip": [key[0]], "blocked_from_ms": [since], "blocked_until_ms": [until], "n_blocks": [n]})
