@@ -163,11 +163,13 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
 
 @dataclass(frozen=True)
 class ForestModel:
-    """Node table, scaling of the features, and the range of raw scores seen at fit."""
+    """Node table and the range of raw scores seen at fit.
+
+    Features are not standardised: a random cut between the lowest and highest value falls in the
+    same place on any linear scale, and unscaled cuts do not depend on the order of a sum.
+    """
 
     names: tuple[str, ...]
-    mean: np.ndarray
-    std: np.ndarray
     nodes: pd.DataFrame
     sample_size: int
     raw_min: float
@@ -206,44 +208,41 @@ def fit_forest(train: DataFrame, config: Settings = DEFAULT,
     m = config.models
     _require_rows(train, m)
     humans = train.filter("label = 0")
-    moments = humans.groupBy().agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names],
-                                   *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
-    if not moments["n"]:
+    n_humans = humans.count()
+    if not n_humans:
         raise ValueError("no human sessions to fit on")
-    mean = np.array([moments[f"m_{c}"] for c in names])
-    std = np.array([moments[f"s_{c}"] or 1.0 for c in names])
     seed = m.seed
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
         tree = int(part["tree"].iloc[0])
         rows = part.sort_values("rank")
-        points = (np.array(rows["x"].tolist()) - mean) / std
-        nodes = grow_tree(points, np.random.default_rng([seed, tree]))
+        nodes = grow_tree(np.array(rows["x"].tolist()), np.random.default_rng([seed, tree]))
         return pd.DataFrame([(tree, *n) for n in nodes],
                             columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
 
-    picks = _sample_per_tree(humans, moments["n"], m)  # at most trees * sample rows
+    picks = _sample_per_tree(humans, n_humans, m)  # at most trees * sample rows
     points = (humans.select("session_id", F.array(*names).alias("x"))
               .join(F.broadcast(picks), "session_id"))
     # at most trees * (2 * sample - 1) rows, whatever the size of the training set
     nodes = points.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
-    sample = int(min(m.forest_sample, moments["n"]))
-    unscaled = ForestModel(tuple(names), mean, std, nodes, sample, 0.0, 1.0)
-    span = train.select(raw_normality(unscaled, train.sparkSession).alias("r")).agg(F.min("r"), F.max("r")).first()
-    return ForestModel(tuple(names), mean, std, nodes, sample, span[0], span[1])
+    sample = int(min(m.forest_sample, n_humans))
+    grown = ForestModel(tuple(names), nodes, sample, 0.0, 1.0)
+    raw = train.select(raw_normality(grown, train.sparkSession).alias("r"))
+    span = raw.agg(F.min("r"), F.max("r")).first()
+    return ForestModel(tuple(names), nodes, sample, span[0], span[1])
 
 
 def raw_normality(model: ForestModel, spark: SparkSession) -> Column:
     """-2^(-E[h]/c): close to 0 for normal rows, towards -1 for isolated ones."""
     tables = model.tables()
     depth = int(np.ceil(np.log2(max(model.sample_size, 2))))
-    shared = spark.sparkContext.broadcast((tables, model.mean, model.std))
+    shared = spark.sparkContext.broadcast(tables)
     unit = expected_path(model.sample_size) or 1.0
 
     @F.pandas_udf("double")
     def normality(x: pd.Series) -> pd.Series:
-        nodes, mean, std = shared.value
-        points = (np.array(x.tolist()) - mean) / std
+        nodes = shared.value
+        points = np.array(x.tolist())
         rows = np.arange(len(points))[:, None]
         trees = np.arange(nodes["feature"].shape[0])[None, :]
         at = np.zeros((len(points), trees.shape[1]), dtype=np.int64)
@@ -276,9 +275,8 @@ def with_forest(features: DataFrame, model: ForestModel, batch: bool = False) ->
 
 def save_forest(spark: SparkSession, model: ForestModel, path: str) -> None:
     spark.createDataFrame(model.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
-    scaling = [(i, n, float(a), float(b)) for i, (n, a, b) in enumerate(zip(model.names, model.mean, model.std))]
-    (spark.createDataFrame(scaling, "position int, name string, mean double, std double")
-     .write.mode("overwrite").parquet(f"{path}/scaling"))
+    names = list(enumerate(model.names))
+    (spark.createDataFrame(names, "position int, name string").write.mode("overwrite").parquet(f"{path}/names"))
     (spark.createDataFrame([(model.sample_size, model.raw_min, model.raw_max)],
                            "sample_size int, raw_min double, raw_max double")
      .write.mode("overwrite").parquet(f"{path}/range"))
@@ -286,7 +284,6 @@ def save_forest(spark: SparkSession, model: ForestModel, path: str) -> None:
 
 def load_forest(spark: SparkSession, path: str) -> ForestModel:
     nodes = spark.read.parquet(f"{path}/nodes").toPandas()
-    scaling = spark.read.parquet(f"{path}/scaling").orderBy("position").toPandas()
+    names = spark.read.parquet(f"{path}/names").orderBy("position").collect()
     found = spark.read.parquet(f"{path}/range").first()
-    return ForestModel(tuple(scaling["name"]), scaling["mean"].to_numpy(), scaling["std"].to_numpy(),
-                       nodes, found["sample_size"], found["raw_min"], found["raw_max"])
+    return ForestModel(tuple(r["name"] for r in names), nodes, found["sample_size"], found["raw_min"], found["raw_max"])
