@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions import columns
@@ -47,10 +47,9 @@ def curve_points(scored: DataFrame) -> DataFrame:
 
 def _with_totals(points: DataFrame) -> DataFrame:
     """Adds all_pos and all_neg. Curve points are stored, so the totals are a small side job."""
-    total = points.groupBy().agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"),
-                                 F.coalesce(F.sum("neg"), F.lit(0)).alias("n"))
-    return points.select("*", total.select("p").scalar().alias("all_pos"),
-                         total.select("n").scalar().alias("all_neg"))
+    total = points.groupBy().agg(F.struct(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"),
+                                          F.coalesce(F.sum("neg"), F.lit(0)).alias("n"))).scalar()
+    return points.select("*", total["p"].alias("all_pos"), total["n"].alias("all_neg"))
 
 
 def roc_curve(scored: DataFrame, points: DataFrame | None = None) -> DataFrame:
@@ -118,16 +117,16 @@ def threshold_grid(scored: DataFrame) -> DataFrame:
     reached = F.aggregate(cuts, F.lit(0), lambda acc, t: acc + F.when(F.col("y_score") >= t, 1).otherwise(0))
     buckets = scored.groupBy(reached.alias("bucket")).agg(
         F.expr("count_if(y_true = 1) as pos"), F.expr("count_if(y_true = 0) as neg"))
-    grid = spark.createDataFrame([(i, t) for i, t in enumerate(THRESHOLDS, 1)], "step int, threshold double")
+    # step 0 is reached by every score and so holds the totals
+    grid = spark.createDataFrame(list(enumerate((0.0, *THRESHOLDS))), "step int, threshold double")
     spread = buckets.select("pos", "neg", F.explode(F.sequence(F.lit(0), "bucket")).alias("step"))
     counts = spread.groupBy("step").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    whole = buckets.groupBy().agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"),
-                                  F.coalesce(F.sum("neg"), F.lit(0)).alias("n"))
+    steps = Window.partitionBy()
     filled = (grid.join(F.broadcast(counts), "step", "left")
-              .withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("fp", F.coalesce("fp", F.lit(0))))
-    return _rates(filled.select("threshold", "tp", "fp",
-                                (whole.select("n").scalar() - F.col("fp")).alias("tn"),
-                                (whole.select("p").scalar() - F.col("tp")).alias("fn")))
+              .withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("fp", F.coalesce("fp", F.lit(0)))
+              .withColumn("fn", F.max("tp").over(steps) - F.col("tp"))
+              .withColumn("tn", F.max("fp").over(steps) - F.col("fp")))
+    return _rates(filled.filter("step > 0").select("threshold", "tp", "fp", "tn", "fn"))
 
 
 def optimal_threshold(scored: DataFrame, target_fpr: float = 0.01) -> DataFrame:

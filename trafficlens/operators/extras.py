@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from trafficlens.config import DEFAULT, Settings
 from trafficlens.functions import columns as fn
 from trafficlens.operators.features import family_features, value_entropy
-from trafficlens.operators.sequence import (KEYS, ORDER, gaps, split_sessions, with_history,
-                                            with_running_sum)
-from trafficlens.operators.skew import CHUNK, split_hot
-
-
-def _chunk(part: DataFrame) -> list[str]:
-    return [CHUNK] if CHUNK in part.columns else []
+from trafficlens.operators.sequence import (KEYS, ORDER, chunk_column, gaps_of, split_sessions,
+                                            with_history, with_running_sum, with_totals)
+from trafficlens.operators.skew import split_hot
 
 
 def iat_histogram(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     """Gaps per session in equal bins between its shortest and longest gap."""
     bins = config.features.iat_bins
-    found = gaps(requests, config)
-    spans = found.groupBy("session_id").agg(F.min("gap_ms").alias("low"), F.max("gap_ms").alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     index = F.when(width <= 0, 1).otherwise(
         F.least(F.lit(bins), F.floor((F.col("gap_ms") - F.col("low")) / width) + 1))
-    return (found.join(spans, "session_id").withColumn("bin", index.cast("int"))
-            .groupBy("session_id", "bin").agg(F.count(F.lit(1)).alias("n_gaps")))
+
+    def build(part: DataFrame) -> DataFrame:
+        spread = with_totals(gaps_of(part), {"low": "min(gap_ms)", "high": "max(gap_ms)"})
+        return (spread.withColumn("bin", index.cast("int"))
+                .groupBy("session_id", "bin").agg(F.count(F.lit(1)).alias("n_gaps")))
+
+    return split_sessions(requests, config).union_of(build)
 
 
 def url_entropy_recent(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
@@ -50,8 +49,8 @@ def rpm_zscore(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     rates = requests.groupBy("session_id").agg(
         (F.count(F.lit(1)) / F.greatest((F.max("timestamp_ms") - F.min("timestamp_ms")) / 1000.0,
                                         F.lit(0.001)) * 60.0).alias("rpm"))
-    whole = rates.groupBy().agg(F.avg("rpm").alias("mean"), F.stddev_samp("rpm").alias("std"))
-    z = (F.col("rpm") - whole.select("mean").scalar()) / F.greatest(whole.select("std").scalar(), F.lit(1e-9))
+    whole = rates.groupBy().agg(F.struct(F.avg("rpm").alias("mean"), F.stddev_samp("rpm").alias("std"))).scalar()
+    z = (F.col("rpm") - whole["mean"]) / F.greatest(whole["std"], F.lit(1e-9))
     return rates.withColumn("zscore", F.coalesce(z, F.lit(0.0))).withColumn(
         "is_outlier", F.col("zscore") > config.rules.zscore)
 
@@ -59,7 +58,7 @@ def rpm_zscore(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
 def consecutive_404s(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     """Longest run of 404 per session. A run is the 404 rows with equal count of others before."""
     def build(part: DataFrame) -> DataFrame:
-        rows = with_history(part.select(*KEYS, *ORDER, "status_code", *_chunk(part)))
+        rows = with_history(part.select(*KEYS, *ORDER, "status_code", *chunk_column(part)))
         marked = with_running_sum(rows, fn.flag(F.col("status_code") != 404), "run")
         runs = (marked.filter("status_code = 404").groupBy("session_id", "run")
                 .agg(F.count(F.lit(1)).alias("length")))
@@ -82,7 +81,7 @@ def regular_runs(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     before = F.col("prev1_timestamp_ms") - F.col("prev2_timestamp_ms")
 
     def build(part: DataFrame) -> DataFrame:
-        rows = with_history(part.select(*KEYS, *ORDER, *_chunk(part)), {"timestamp_ms": 2})
+        rows = with_history(part.select(*KEYS, *ORDER, *chunk_column(part)), {"timestamp_ms": 2})
         near = rows.withColumn("near", F.coalesce(F.abs(gap - before) <= 0.1 * before, F.lit(False)))
         marked = with_running_sum(near, fn.flag(~F.col("near")), "run")
         runs = marked.groupBy("session_id", "run").agg(F.sum(fn.flag(F.col("near"))).alias("length"))

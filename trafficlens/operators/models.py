@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.config import DEFAULT, ModelSettings, Settings
+from trafficlens.functions.columns import class_label
 from trafficlens.operators.features import FEATURE_NAMES
-from trafficlens.operators.skew import number_rows
+from trafficlens.operators.skew import number_rows, shared_dir
 
 # functions of this module travel inside the UDFs, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -73,7 +74,6 @@ def scaler() -> StandardScaler:
 
 def feature_matrix(features: DataFrame) -> DataFrame:
     """Session id, labels and the feature vector."""
-    from trafficlens.functions.columns import class_label
     return (assembler().transform(features)
             .select("session_id", "traffic_class", F.col("label").alias("y_binary"),
                     class_label(F.col("traffic_class")).alias("y_multi"), "features"))
@@ -92,6 +92,7 @@ def fit_boosting(train: DataFrame, config: Settings = DEFAULT,
     """Scaler and boosted trees on the label; `names` limits the vector to some features."""
     m = config.models
     _require_rows(train, m)
+    shared_dir(train.sparkSession)  # boosting checkpoints there every ten trees
     sliced = VectorSlicer(inputCol="all_features", outputCol="features", names=list(names or FEATURE_NAMES))
     whole = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="all_features")
     trees = GBTClassifier(featuresCol="scaled", labelCol="label", maxIter=m.boost_trees,

@@ -69,10 +69,9 @@ def with_history(part: DataFrame, lags: dict[str, int] | None = None,
     lags, totals = lags or {}, totals or {}
     if CHUNK not in part.columns:
         ordered = Window.partitionBy(*keys).orderBy(*order)
-        whole = Window.partitionBy(*keys)
         seen = part.select("*", F.row_number().over(ordered).cast("bigint").alias("rn"),
                            *_lag_columns(lags, ordered))
-        return seen.select("*", *[F.expr(c).over(whole).alias(n) for n, c in totals.items()])
+        return with_totals(seen, totals, keys)
 
     depth = max(lags.values(), default=0)
     offsets = _chunk_offsets(part, keys)
@@ -88,10 +87,23 @@ def with_history(part: DataFrame, lags: dict[str, int] | None = None,
             .withColumn("rn", F.col("_local") + F.col("_before")
                         - F.least(F.lit(depth), F.col("_before")))
             .drop("_context", "_local", "_before", "_rows"))
-    if totals:
-        whole = part.groupBy(*keys).agg(*[F.expr(c).alias(n) for n, c in totals.items()])
-        seen = seen.join(F.broadcast(whole), list(keys))
-    return seen
+    return _join_totals(seen, part, totals, keys)
+
+
+def with_totals(part: DataFrame, totals: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Adds aggregates over the whole key to every row, without moving the rows of a part."""
+    if CHUNK in part.columns:
+        return _join_totals(part, part, totals, keys)
+    whole = Window.partitionBy(*keys)
+    return part.select("*", *[F.expr(c).over(whole).alias(n) for n, c in totals.items()])
+
+
+def _join_totals(rows: DataFrame, part: DataFrame, totals: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """Totals of hot keys: one row per key, each with more rows than the hot limit, so few."""
+    if not totals:
+        return rows
+    whole = part.groupBy(*keys).agg(*[F.expr(c).alias(n) for n, c in totals.items()])
+    return rows.join(F.broadcast(whole), list(keys))
 
 
 def with_running_sum(part: DataFrame, value: Column, name: str,
@@ -115,23 +127,27 @@ def with_running_sum(part: DataFrame, value: Column, name: str,
 
 def gaps(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     """Inter-arrival gaps: n - 1 rows per session, keyed by the position of the earlier request."""
-    def build(part: DataFrame) -> DataFrame:
-        prev = earlier("timestamp_ms", 1)
-        return (with_history(part.select(*KEYS, *ORDER, *_chunk_column(part)), {"timestamp_ms": 1})
-                .filter(F.col(prev).isNotNull())
-                .select("session_id", (F.col("rn") - 1).alias("seq"),
-                        (F.col("timestamp_ms") - F.col(prev)).alias("gap_ms")))
-    return split_sessions(requests, config).union_of(build)
+    split = split_sessions(requests, config)
+    return split.union_of(lambda part: gaps_of(part).select("session_id", "seq", "gap_ms"))
+
+
+def gaps_of(part: DataFrame) -> DataFrame:
+    """Gaps of a part, which stays a part."""
+    prev = earlier("timestamp_ms", 1)
+    return (with_history(part.select(*KEYS, *ORDER, *chunk_column(part)), {"timestamp_ms": 1})
+            .filter(F.col(prev).isNotNull())
+            .select("session_id", (F.col("rn") - 1).alias("seq"),
+                    (F.col("timestamp_ms") - F.col(prev)).alias("gap_ms"), *chunk_column(part)))
 
 
-def _chunk_column(part: DataFrame) -> list[str]:
+def chunk_column(part: DataFrame) -> list[str]:
     return [CHUNK] if CHUNK in part.columns else []
 
 
 def url_steps(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     """Per request: is it a backtrack (url seen 2 or 3 steps ago), is it forward (not in last 5)."""
     def build(part: DataFrame) -> DataFrame:
-        seen = with_history(part.select(*KEYS, *ORDER, "url", *_chunk_column(part)), {"url": 5})
+        seen = with_history(part.select(*KEYS, *ORDER, "url", *chunk_column(part)), {"url": 5})
         return seen.selectExpr("session_id", "request_id", "rn as seq",
                                f"{IS_BACKTRACK} as is_backtrack", f"{IS_FORWARD} as is_forward")
     return split_sessions(requests, config).union_of(build)

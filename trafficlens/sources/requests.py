@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,30 +135,40 @@ def write_request_log(requests: DataFrame, path: str, by: str = "traffic_class")
 
 
 def session_summary(requests: DataFrame) -> DataFrame:
-    """Requests, start and duration per session, from mergeable aggregates."""
-    return (requests.groupBy("session_id")
-            .agg(F.count(F.lit(1)).alias("n_requests"),
-                 (F.max("timestamp_ms") - F.min("timestamp_ms")).alias("duration_ms"),
-                 F.min("timestamp_ms").alias("start_time_ms"),
-                 F.max("traffic_class").alias("traffic_class"), F.max("label").alias("label")))
+    """Requests, start and duration per session.
+
+    Class and label are constant in a session, so they are grouping keys first: only numbers are
+    aggregated over requests, and the texts are picked among the few rows that are left.
+    """
+    first = (requests.groupBy("session_id", "traffic_class", "label")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ms").alias("low"), F.max("timestamp_ms").alias("high")))
+    return (first.groupBy("session_id")
+            .agg(F.sum("n").alias("n_requests"), (F.max("high") - F.min("low")).alias("duration_ms"),
+                 F.min("low").alias("start_time_ms"), F.max("traffic_class").alias("traffic_class"),
+                 F.max("label").alias("label")))
 
 
-def nested_sessions(requests: DataFrame, max_requests: int) -> DataFrame:
+def nested_sessions(requests: DataFrame, max_requests: int, config: Settings = DEFAULT) -> DataFrame:
     """Sessions as arrays of requests, for systems that need that form.
 
     An array lives in one row, so only sessions of at most `max_requests` requests are nested;
-    longer ones come back with a null array and their count, to be read from the flat log.
+    longer ones come back with a null array and their count, to be read from the flat log. Hot
+    sessions are set apart before anything is gathered.
     """
-    sizes = requests.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_requests"))
-    long = sizes.filter(F.col("n_requests") > max_requests)
     fields = ["timestamp_ms", "request_id", "method", "url", "status_code", "headers",
               "user_agent", "request_size_bytes", "response_size_bytes", "is_api", "referrer"]
-    short = (requests.join(long.select("session_id"), "session_id", "left_anti")
-             .groupBy("session_id")
-             .agg(F.count(F.lit(1)).alias("n_requests"),
-                  F.collect_list(F.struct(*fields)).alias("requests"))
-             .withColumn("requests", F.array_sort(
-                 "requests", lambda a, b: F.when(a["timestamp_ms"] < b["timestamp_ms"], -1)
-                 .when(a["timestamp_ms"] > b["timestamp_ms"], 1)
-                 .when(a["request_id"] < b["request_id"], -1).otherwise(1))))
-    return short.unionByName(long, allowMissingColumns=True)
+
+    def by_place(a: Column, b: Column) -> Column:
+        return (F.when(a["timestamp_ms"] < b["timestamp_ms"], -1).when(a["timestamp_ms"] > b["timestamp_ms"], 1)
+                .when(a["request_id"] < b["request_id"], -1).otherwise(1))
+
+    split = split_hot(requests, ["session_id"], ["timestamp_ms", "request_id"], config.scale)
+    # short and long sessions are told apart in place: the count comes from the same partitioning
+    counted = split.cold.withColumn("n_requests", F.count(F.lit(1)).over(Window.partitionBy("session_id")))
+    kept = F.when(F.col("n_requests") <= max_requests, F.struct(*fields))
+    nested = (counted.groupBy("session_id", "n_requests").agg(F.collect_list(kept).alias("requests"))
+              .withColumn("requests", F.when(F.size("requests") > 0, F.array_sort("requests", by_place))))
+    if split.hot is None:
+        return nested
+    long = split.hot.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_requests"))
+    return nested.unionByName(long, allowMissingColumns=True)
