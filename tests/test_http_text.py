@@ -9,7 +9,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from trafficlens.config import HttpTextSettings, ScaleSettings, Settings
-from trafficlens.functions.columns import attack_type
 from trafficlens.operators.features import session_features
 from trafficlens.operators.skew import number_rows
 from trafficlens.sources import http_text
@@ -111,9 +110,12 @@ def test_caps_shuffle_and_features(spark):
 @pytest.mark.parametrize("text,kind", [
     ("/a?id=1'%20OR%20--", "sql_injection"), ("/a?q=<script>", "xss"), ("/a?f=../../x", "path_traversal"),
     ("/a?c=x;ls", "command_injection"), ("/a?b=" + "A" * 500, "buffer_overflow"), ("/a", "other_anomaly"),
-    ("/a?x=UNION", "sql_injection"), ("/a?x=' OR 1", "sql_injection"), ("/a?q=JavaScript:x", "xss")])
+    ("/a?x=UNION", "sql_injection"), ("/a?x=' OR 1", "sql_injection"), ("/a?q=JavaScript:x", "xss"), ("/a?q=\u017felect", "sql_injection"), ("/a?q=\u0131nsert", "sql_injection"),
+    ("/a?x='\n\t oR", "sql_injection"), ("/a?b=" + "A" * 499 + "&c=" + "B" * 490, "other_anomaly"),
+    ("/a?b=" + "A" * 300 + "&" + "B" * 500, "buffer_overflow"), ("A" * 500, "buffer_overflow"), ("/a%0Db", "command_injection")])
 def test_attack_types(spark, text, kind):
-    assert spark.createDataFrame([(text,)], "t string").select(attack_type(F.col("t"))).first()[0] == kind
+    row = http_text.with_attack_type(spark.createDataFrame([(text,)], "t string"), F.col("t")).first()
+    assert row["attack_type"] == kind
 
 
 def test_breakdown_is_sorted(spark):

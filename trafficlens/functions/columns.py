@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,22 +140,37 @@ def binary_label(traffic_class: Column) -> Column:
 
 # --- attack signatures -----------------------------------------------------------------------
 
-# Signatures in order of precedence.
-ATTACK_PATTERNS = (
-    ("sql_injection", r"(?i)(union|select|drop|insert|delete|--|/\*|'\s*or)"),
-    ("xss", r"(?i)(<script|javascript:|onerror=|onload=|alert\()"),
-    ("path_traversal", r"(?i)(\.\./|/etc/|/proc/|/windows/)"),
-    ("command_injection", r"(?i)(;ls|;cat|&&|`|%0a|%0d)"),
-    ("buffer_overflow", r"[^&=]{500,}"),
-)
-
-
-def attack_type(text: Column) -> Column:
-    first, *rest = ATTACK_PATTERNS
-    chain = F.when(text.rlike(first[1]), first[0])
-    for name, pattern in rest:
-        chain = chain.when(text.rlike(pattern), name)
-    return chain.otherwise("other_anomaly")
+# Signatures in order of precedence, searched without regard to case.
+ATTACK_WORDS = {
+    "sql_injection": ("union", "select", "drop", "insert", "delete", "--", "/*"),
+    "xss": ("<script", "javascript:", "onerror=", "onload=", "alert("),
+    "path_traversal": ("../", "/etc/", "/proc/", "/windows/"),
+    "command_injection": (";ls", ";cat", "&&", "`", "%0a", "%0d"),
+}
+QUOTED_OR = r"(?U)'\s*or"
+# a run of 500 characters without & or =, tried only where a run starts
+LONG_VALUE = r"(?:^|[&=])[^&=]{500}"
+# letters that fold to s, i, i and k
+ODD_LETTERS, PLAIN_LETTERS = "\u017f\u0131\u0130\u212a", "siik"
+
+
+def fold_case(text: Column) -> Column:
+    odd = reduce(Column.__or__, [text.contains(c) for c in ODD_LETTERS])
+    return F.lower(F.when(odd, F.translate(text, ODD_LETTERS, PLAIN_LETTERS)).otherwise(text))
+
+
+def attack_type(text: Column, folded: Column) -> Column:
+    """First signature that a text shows; `folded` is the text after fold_case.
+
+    Plain substring search instead of case-insensitive alternations: bytes are compared in place.
+    """
+    found = {kind: reduce(Column.__or__, [folded.contains(w) for w in words])
+             for kind, words in ATTACK_WORDS.items()}
+    found["sql_injection"] |= folded.contains("'") & folded.rlike(QUOTED_OR)
+    chain = F
+    for kind, test in found.items():
+        chain = chain.when(test, kind)
+    return chain.when(text.rlike(LONG_VALUE), "buffer_overflow").otherwise("other_anomaly")
 
 
 # --- entropy --------------------------------------------------------------------------------

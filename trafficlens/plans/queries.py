@@ -147,7 +147,7 @@ def _attack_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attack_type(spark: SparkSession, folder: str) -> DataFrame:
-    return _attack_texts(spark, folder).select("source", "id", fn.attack_type(F.col("text")).alias("attack_type"))
+    return http_text.with_attack_type(_attack_texts(spark, folder), F.col("text")).select("source", "id", "attack_type")
 
 
 def attack_breakdown(spark: SparkSession, folder: str) -> DataFrame:

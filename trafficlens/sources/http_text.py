@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.config import DEFAULT, Settings
-from trafficlens.functions.columns import attack_type
+from trafficlens.functions.columns import attack_type, fold_case
 from trafficlens.operators.sequence import with_history
 from trafficlens.operators.skew import number_rows, split_hot
 
@@ -19,11 +19,11 @@ API_PARTS = ("/api/", "/rest/", "/json/", "/xml/")
 ATTACK_STATUSES = (200, 400, 403, 500, 200, 200)
 
 BLOCK_ORDER = ("file", "split_start", "record", "part")
-SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}]"
+SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def line_end(spark: SparkSession, path: str) -> str:
@@ -80,7 +80,7 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     Header names are lower-cased and the last of several equal names wins.
     """
     lines = F.split(F.col("block"), "\n")
-    words = F.split(strip(F.get(lines, F.lit(0))), " ", 3)
+    words = F.split(strip(F.substring_index("block", "\n", 1)), " ", 3)
     rest = F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))
     blank = F.array_position(F.transform("_rest", lambda x: strip(x) == ""), True)
     head = F.when(F.col("_blank") > 0, F.slice("_rest", F.lit(1), F.col("_blank").cast("int") - 1)).otherwise(F.col("_rest"))
@@ -95,11 +95,10 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
               .withColumn("_lines", lines).withColumn("_words", words)
               .filter((F.size("_words") >= 2) & F.upper(F.get("_words", F.lit(0))).isin(*METHODS))
               .withColumn("_rest", rest).withColumn("_blank", blank)
-              .withColumn("_pairs", F.transform(F.filter(head, lambda x: F.contains(x, F.lit(":"))), pair))
-              # keep the last pair of every name
-              .withColumn("_keys", F.transform("_pairs", lambda p: p["key"]))
-              .withColumn("_pairs", F.filter("_pairs", lambda p, i: ~F.array_contains(
-                  F.slice(F.col("_keys"), i + 2, F.size("_keys")), p["key"]))))
+              # newest first, and of every name the first one is kept
+              .withColumn("_pairs", F.reverse(F.transform(F.filter(head, lambda x: F.contains(x, F.lit(":"))), pair)))
+              .withColumn("_keys", F.col("_pairs.key"))
+              .withColumn("_pairs", F.filter("_pairs", lambda p, i: F.array_position(F.col("_keys"), p["key"]) == i + 1)))
     return (parsed
             .withColumn("headers", F.map_from_entries("_pairs"))
             .withColumn("body", strip(F.array_join(tail, "\n")))
@@ -153,9 +152,16 @@ def request_text(parsed: DataFrame) -> Column:
     return F.concat_ws(" ", parsed["url"], F.coalesce(parsed["body"], F.lit("")))
 
 
+def with_attack_type(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds attack_type of a text."""
+    staged = rows.withColumn("_text", text).withColumn("_folded", fold_case(F.col("_text")))
+    return (staged.withColumn("attack_type", attack_type(F.col("_text"), F.col("_folded")))
+            .drop("_text", "_folded"))
+
+
 def attack_breakdown(rows: DataFrame, text: Column | None = None) -> DataFrame:
     """Rows per attack type, most frequent first; the text of parsed requests unless given."""
-    kinds = rows.select(attack_type(request_text(rows) if text is None else text).alias("attack_type"))
+    kinds = with_attack_type(rows, request_text(rows) if text is None else text)
     return (kinds.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n_requests"))
             .orderBy(F.desc("n_requests"), "attack_type"))
 
