@@ -18,10 +18,6 @@ def flag(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
 
 
-def share(part: Column, whole: Column) -> Column:
-    return part.cast("double") / F.greatest(whole.cast("double"), F.lit(1.0))
-
-
 def tidy(value: Column, digits: int = 6) -> Column:
     """Round for comparison; adding zero turns -0.0 into 0.0."""
     return F.round(value.cast("double"), digits) + F.lit(0.0)
@@ -75,37 +71,14 @@ def event_time(timestamp_ms: Column) -> Column:
 
 # --- urls -------------------------------------------------------------------------------
 
-def url_depth(url: Column) -> Column:
-    """Number of path parts once trailing slashes are gone."""
-    return F.size(F.split(F.regexp_replace(url, "/+$", ""), "/")) - 1
-
-
-def url_section(url: Column) -> Column:
-    """Text between the first and second slash; the url itself when it has no slash."""
-    return F.when(F.instr(url, "/") > 0, F.get(F.split(url, "/", 3), F.lit(1))).otherwise(url)
-
-
-def url_section_or_blank(url: Column) -> Column:
-    return F.when(F.instr(url, "/") > 0, F.get(F.split(url, "/", 3), F.lit(1))).otherwise("")
-
-
-def is_api_url(url: Column) -> Column:
-    return url.contains("/api/")
+def url_depth(url: str) -> str:
+    """SQL text: number of path parts once trailing slashes are gone."""
+    return f"(size(split(regexp_replace({url}, '/+$', ''), '/')) - 1)"
 
 
-def endpoint(url: Column) -> Column:
-    return F.substring_index(url, "?", 1)
-
-
-def content_kinds(url: Column) -> dict[str, Column]:
-    """Overlapping content-type tests of a url."""
-    return {
-        "product": url.contains("product"),
-        "category": url.contains("products") | url.contains("category"),
-        "api": is_api_url(url),
-        "account": url.contains("account") | url.contains("login"),
-        "static": url.contains("static") | url.contains(".js") | url.contains(".css"),
-    }
+def url_section(url: str) -> str:
+    """SQL text: what is between the first and second slash; the url itself when it has no slash."""
+    return f"if(contains({url}, '/'), get(split({url}, '/', 3), 1), {url})"
 
 
 def page_context(url: Column) -> Column:
@@ -121,14 +94,6 @@ def is_bot_agent(user_agent: Column) -> Column:
     return F.lower(user_agent).rlike("|".join(BOT_AGENT_WORDS))
 
 
-def is_4xx(status: Column) -> Column:
-    return status.between(400, 499)
-
-
-def is_5xx(status: Column) -> Column:
-    return status >= 500
-
-
 def class_label(traffic_class: Column) -> Column:
     pairs = [F.lit(x) for item in CLASS_LABELS.items() for x in item]
     return F.try_element_at(F.create_map(*pairs), traffic_class)
@@ -175,11 +140,6 @@ def attack_type(text: Column, folded: Column) -> Column:
 
 # --- entropy --------------------------------------------------------------------------------
 
-def count_log_count(count: Column) -> Column:
-    """c * log2(c), the term whose sum over values gives entropy once the total is known."""
-    return count * F.log2(count.cast("double"))
-
-
 def entropy_from_sums(total: Column, sum_c_log_c: Column, n_values: Column) -> Column:
     """Shannon entropy in bits from sums, with the 1e-12 smoothing to first order.
 

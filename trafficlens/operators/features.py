@@ -22,7 +22,6 @@ from trafficlens.config import BOT_AGENT_WORDS, DEFAULT, Settings
 from trafficlens.functions import columns as fn
 from trafficlens.operators.sequence import (IS_BACKTRACK, IS_FORWARD, split_sessions,
                                             with_history)
-from trafficlens.operators.skew import CHUNK, Split
 
 
 @dataclass(frozen=True)
@@ -35,6 +34,7 @@ class Family:
     sections: bool = False
     endpoints: bool = False
     picks: bool = False  # a first or last value, or a deviation of a size
+    steps: bool = False  # earlier urls
 
 
 # Feature names by family, in the order of the feature vector.
@@ -55,7 +55,7 @@ FAMILIES = {
     "http_payload": Family(("http_req_size_mean", "http_resp_size_mean", "http_resp_size_cv",
                             "http_referrer_ratio"), picks=True),
     "beh_navigation": Family(("beh_revisit_ratio", "beh_backtrack_rate", "beh_n_unique_pages"),
-                             order=True, urls=True),
+                             order=True, urls=True, steps=True),
     "beh_path_entropy": Family(("beh_path_entropy",), urls=True, sections=True),
     "beh_dwell": Family(("beh_dwell_mean_ms", "beh_dwell_std_ms", "beh_dwell_cv",
                          "beh_short_dwell_ratio"), order=True),
@@ -68,11 +68,11 @@ FAMILIES = {
     "llm_header_anomaly": Family(("llm_header_anomaly",), picks=True),
     "llm_ua": Family(("llm_ua_mismatch",), picks=True),
     "llm_api_probing": Family(("llm_api_probing",), urls=True, endpoints=True),
-    "llm_linearity": Family(("llm_session_linearity",), order=True),
+    "llm_linearity": Family(("llm_session_linearity",), order=True, steps=True),
     "llm_score": Family(("llm_timing_regularity", "llm_systematic_coverage", "llm_header_anomaly",
                          "llm_ua_mismatch", "llm_api_probing", "llm_form_naturalness",
                          "llm_session_linearity", "llm_llm_score"),
-                        order=True, urls=True, sections=True, endpoints=True, picks=True),
+                        order=True, urls=True, sections=True, endpoints=True, picks=True, steps=True),
 }
 
 FEATURE_NAMES = tuple(
@@ -112,9 +112,8 @@ def _narrow(requests: DataFrame) -> DataFrame:
     def optional(name: str) -> Column:
         return F.col(name) if name in requests.columns else F.lit(None).cast("string")
 
-    chunk = [CHUNK] if CHUNK in requests.columns else []
     return requests.select(
-        "session_id", "request_id", "timestamp_ms", "url", "status_code", "is_api", *chunk,
+        "session_id", "request_id", "timestamp_ms", "url", "status_code", "is_api",
         F.col("user_agent").alias("row_agent"),
         F.col("traffic_class").alias("row_class"),
         F.col("label").alias("row_label"),
@@ -171,7 +170,7 @@ PLAIN: Measures = {
 }
 
 # a url times the number of rows it stands for
-URL_DEPTH = "(size(split(regexp_replace(url, '/+$', ''), '/')) - 1)"
+URL_DEPTH = fn.url_depth("url")
 
 
 def _url_weighted(weight: str) -> Measures:
@@ -201,6 +200,8 @@ ORDERED: Measures = {
     "second_gap_sum": (f"if(rn - 1 > {HALF}, {GAP}, null)", "sum"),
     "last_error_rn": ("if(status_code >= 400, rn, null)", "max"),
     "resp_dev2": ("power(resp_size - resp_mean, 2)", "sum"),
+}
+STEPS: Measures = {
     "n_backtracks": (_count_if(IS_BACKTRACK), "sum"),
     "n_forward": (_count_if(IS_FORWARD), "sum"),
 }
@@ -225,7 +226,7 @@ def _aggregate(rows: DataFrame, need: Family) -> DataFrame:
     measures = PLAIN
     session = ["session_id"]
     if need.order:
-        measures = measures | ORDERED
+        measures = measures | ORDERED | (STEPS if need.steps else {})
         session += list(ABOUT)
 
     if not need.urls:
@@ -239,7 +240,7 @@ def _aggregate(rows: DataFrame, need: Family) -> DataFrame:
         return by_url.groupBy(*session).agg(*_merge(url_level))
 
     # one row per url and section, and one more per url and endpoint if it was probed
-    section = "if(contains(url, '/'), get(split(url, '/', 3), 1), url)"
+    section = fn.url_section("url")
     valued = by_url.selectExpr(
         *session, *[f"{v} as {k}" for k, (v, _) in url_level.items()],
         "contains(url, '/') as slash",
@@ -372,16 +373,15 @@ def _evaluate(measured: DataFrame, names: Iterable[str], order: bool, keep: Iter
 def combined_need(families: Iterable[str]) -> Family:
     chosen = [FAMILIES[f] for f in families]
     names = tuple(dict.fromkeys(n for f in chosen for n in f.names))
-    order, urls, sections, endpoints, picks = (
+    order, urls, sections, endpoints, picks, steps = (
         any(getattr(f, a) for f in chosen)
-        for a in ("order", "urls", "sections", "endpoints", "picks"))
-    return Family(names, order or (urls and picks), urls, sections, endpoints, picks)
+        for a in ("order", "urls", "sections", "endpoints", "picks", "steps"))
+    return Family(names, order or (urls and picks), urls, sections, endpoints, picks, steps)
 
 
-def session_features(requests: DataFrame, config: Settings = DEFAULT,
-                     split: Split | None = None) -> DataFrame:
+def session_features(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     """One row per session: its attributes and all 51 features."""
-    measured = _measured(requests, combined_need(FAMILIES), config, split)
+    measured = _measured(requests, combined_need(FAMILIES), config)
     named = measured.withColumns({"start_ms": F.col("t_first"), "end_ms": F.col("t_last")})
     return _evaluate(named, FEATURE_NAMES, True, SESSION_COLUMNS, config)
 
@@ -394,17 +394,13 @@ def family_features(requests: DataFrame, *families: str,
     return _evaluate(measured, need.names, need.order, ["session_id"], config)
 
 
-def _measured(requests: DataFrame, need: Family, config: Settings,
-              split: Split | None = None) -> DataFrame:
-    def build(part: DataFrame) -> DataFrame:
-        rows = _narrow(part)
-        if need.order:
-            rows = with_history(rows, {"timestamp_ms": 1, "url": 5}, TOTALS)
+def _measured(requests: DataFrame, need: Family, config: Settings) -> DataFrame:
+    rows = _narrow(requests)
+    if not need.order:
         return _aggregate(rows, need)
-
-    if need.order:
-        return (split or split_sessions(requests, config)).union_of(build)
-    return build(requests)
+    lags = {"timestamp_ms": 1} | ({"url": 5} if need.steps else {})
+    return split_sessions(rows, config).union_of(
+        lambda part: _aggregate(with_history(part, lags, TOTALS), need))
 
 
 def clean_features(features: DataFrame, names: Iterable[str] = FEATURE_NAMES) -> DataFrame:
