@@ -27,15 +27,16 @@ def decimal_units(value: str, digits: int) -> str:
     """SQL text: value * 10^digits as a whole number, rounded on the exact binary value.
 
     Ties go to even, so scores and texts equal what correctly rounding languages print. For values
-    in [0, 2): the bits down to 2^-102 become a whole decimal number, and the rest is decimal
-    arithmetic.
+    in [0, 2): away from a tie plain rounding is exact; near one, the bits down to 2^-102 become a
+    whole decimal number, and the rest is decimal arithmetic.
     """
+    near = f"(({value}) * {10**digits}D)"
     high = f"(({value}) * {2**62}D)"
     low = f"bigint(({high} - double(bigint({high}))) * {2**40}D)"
     scaled = f"((cast(bigint{high} as decimal(19, 0)) * {2**40}BD + {low}) * {10**digits})"
     whole, rest = f"({scaled} div {2**102}BD)", f"({scaled} % {2**102}BD)"
-    return (f"({whole} + case when {rest} > {2**101}BD or ({rest} = {2**101}BD and {whole} % 2 = 1)"
-            " then 1L else 0L end)")
+    exact = f"{whole} + case when {rest} > {2**101}BD or ({rest} = {2**101}BD and {whole} % 2 = 1) then 1L else 0L end"
+    return (f"if(abs({near} - floor({near}) - 0.5D) > 1e-6D, bigint(floor({near} + 0.5D)), {exact})")
 
 
 def exact_round(value: str, digits: int = 4) -> str:

@@ -107,15 +107,26 @@ def with_ensemble(scored: DataFrame, config: Settings = DEFAULT) -> DataFrame:
         ' | GB=', {fn.exact_text('gb_score', 3)}, ' | LLM=', {fn.exact_text('llm_score', 3)},
         '[', llm_confidence, '] | Ensemble=', {fn.exact_text('risk_score', 3)},
         ' | Firing=', n_detectors_firing, '/4')"""
-    return (scored
-            .selectExpr("*", f"({mean}) / {total!r}D as _mean", f"greatest({best}) as _best",
-                        " + ".join(f"int({c} > 0.5D)" for c in weights) + " as n_detectors_firing")
-            .selectExpr("*", f"if(_best >= {e.override_at}D, greatest(_mean, _best * 0.95D), _mean) as _lifted")
-            .selectExpr("*", f"""least(greatest(if(n_detectors_firing >= {e.min_agreement},
-                least(1D, _lifted * 1.1D), _lifted), 0D), 1D) as risk_score""")
-            .selectExpr("*", f"if(llm_confidence = 'INSUFFICIENT_DATA', map(), map({signals})) as llm_signals",
-                        f"{explanation} as explanation")
-            .drop("_mean", "_best", "_lifted"))
+    combined = (scored
+                .selectExpr("*", f"({mean}) / {total!r}D as _mean", f"greatest({best}) as _best",
+                            " + ".join(f"int({c} > 0.5D)" for c in weights) + " as n_detectors_firing")
+                .selectExpr("*", f"if(_best >= {e.override_at}D, greatest(_mean, _best * 0.95D), _mean) as _lifted")
+                .selectExpr("*", f"""least(greatest(if(n_detectors_firing >= {e.min_agreement},
+                    least(1D, _lifted * 1.1D), _lifted), 0D), 1D) as risk_score""")
+                .drop("_mean", "_best", "_lifted"))
+    return settled(combined, [*weights, "risk_score", "n_detectors_firing", "statistical_reason", "llm_confidence"]).selectExpr(
+        "*", f"if(llm_confidence = 'INSUFFICIENT_DATA', map(), map({signals})) as llm_signals",
+        f"{explanation} as explanation")
+
+
+def settled(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows with `names` as outputs of a generator.
+
+    A later filter on a score would otherwise be pushed down with the whole formula copied into it,
+    once per use; conditions on generator outputs stay where they are written.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
 
 
 def score_without_models(features: DataFrame, config: Settings = DEFAULT) -> DataFrame:

@@ -14,6 +14,7 @@ from trafficlens.operators.detectors import (score_without_models, with_agent_sc
                                              with_rules)
 from trafficlens.operators.features import session_features
 from trafficlens.operators.mitigation import decide_in_context
+from trafficlens.operators.skew import materialize
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def train_and_evaluate(requests: DataFrame, path: str, config: Settings = DEFAUL
     train, test = models.train_test_split(session_features(requests, config), 0.2, config.models.seed)
     detectors = fit_detectors(train, config)
     detectors.save(spark, path)
-    judged = eval_input(score(test, detectors, config))
+    judged = materialize(eval_input(score(test, detectors, config)), "judged")  # read several times below
     best = evaluation.optimal_threshold(judged, target_fpr).first()["threshold"]
     report = evaluation.full_report(judged, best)
     report.write.mode("overwrite").json(f"{path}/report")
