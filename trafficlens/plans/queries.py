@@ -499,7 +499,7 @@ def live_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ROWS_ONLY = {f.__name__: f for f in (train_test_split, seeded_order, scale_features, iforest, gbt, top_features,
-                                     model_roundtrip, ensemble, live_blocks)}
+                                     model_roundtrip, ensemble)}
 
 CHECKED = {name: _family(name) for name in FAMILIES} | {
     f.__name__: f for f in (
@@ -511,7 +511,7 @@ CHECKED = {name: _family(name) for name in FAMILIES} | {
         block_intervals, known_ja3, unknown_ja3, scores_by_class, confusion_metrics, metric_flags, per_class_metrics,
         roc_curve, pr_curve, auroc, auprc, threshold_grid, optimal_threshold, sessionize_gap, rpm_tumbling,
         rpm_sliding, iat_histogram, url_entropy_last50, missing_headers, rpm_zscore, consecutive_404s, timing_flag,
-        regular_runs, peak_rpm, stream_sessions, stream_rates)} | {
+        regular_runs, peak_rpm, stream_sessions, stream_rates, live_blocks)} | {
     "session_features": all_features,
     "stat_score": _rules("session_id", "statistical_score"),
     "stat_reason": _rules("session_id", "statistical_reason"),

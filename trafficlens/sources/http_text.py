@@ -13,10 +13,11 @@ from trafficlens.functions.columns import attack_type, fold_case
 from trafficlens.operators.sequence import with_history
 from trafficlens.operators.skew import number_rows, split_hot
 
-# Accepted methods, api path parts, statuses of attack requests.
+# Accepted methods, api path parts, statuses of attack requests, agent when none is sent.
 METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH")
 API_PARTS = ("/api/", "/rest/", "/json/", "/xml/")
 ATTACK_STATUSES = (200, 400, 403, 500, 200, 200)
+DEFAULT_AGENT = "Mozilla/5.0 (CSIC-2010)"
 
 BLOCK_ORDER = ("file", "split_start", "record", "part")
 SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0"
@@ -201,7 +202,7 @@ def pseudo_sessions(numbered: DataFrame, session_size: int = 20, gap_ms: float =
     return (placed
             .withColumn("_gap", gap)
             .withColumn("offset_ms", F.sum("_gap").over(upto))
-            .withColumn("session_agent", F.coalesce(F.min(named).over(whole)["user_agent"], F.lit("Mozilla/5.0 (CSIC-2010)")))
+            .withColumn("session_agent", F.coalesce(F.min(named).over(whole)["user_agent"], F.lit(DEFAULT_AGENT)))
             .withColumn("label", majority)
             .withColumn("traffic_class", F.when(F.col("label") == 0, "human").otherwise("scraper"))
             .withColumn("timestamp_ms", F.col("start_time_ms") + F.col("offset_ms"))
