@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import exact, mixing, simhash
+from trafficlens.llm import exact, mixing, neardup, simhash, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,13 +25,24 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op4_mix_sources": op4_mix_sources,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
     "op4_mix_sources": mixing.MIX_SQL,
     "op7_exact_dedup": exact.EXACT_SQL,
+    "op10_warc": warc.WARC_SQL,
 }
