@@ -27,7 +27,8 @@ def frequent(digests: DataFrame, tracked: int = TRACKED, top: int = TOP) -> Data
     """At most `top` digests that may be frequent; every digest above about 7 / tracked of the rows is among them."""
     local = (digests.groupBy((F.spark_partition_id() % MERGERS).alias("_m"))
              .agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("_s")))
-    merged = local.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {tracked}), {top})").alias("_top"))
+    # a grouping key, though constant: without one, empty partitions send sketches that cannot be merged
+    merged = local.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {tracked}), {top})").alias("_top"))
     return merged.select(F.explode("_top").alias("_t")).select(F.col("_t.item").alias("digest"))
 
 
