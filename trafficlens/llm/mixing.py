@@ -26,7 +26,7 @@ WEIGHTS = (5, 2, 1)
 TILTS = (-0.5, 0.0, 0.5)
 LIMIT = 3
 # rows in one ordered piece of a source, on average
-PIECE_ROWS = 20_000
+PIECE_ROWS = 4_000
 
 
 def word_count(text: Column | str) -> Column:
