@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import exact, mixing, neardup, simhash, warc
+from trafficlens.llm import bpe, exact, mixing, neardup, simhash, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.token_digests(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_pages(_table(spark, folder, "pages"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
     "op10_warc": op10_warc,
 }
 
