@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import bpe, exact, mixing, neardup, simhash, toxicity, warc
+from trafficlens.llm import bpe, exact, language, mixing, neardup, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.edited_fingerprints(_table(spark, folder, "documents"))
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
@@ -26,6 +30,10 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(_table(spark, folder, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))
 
@@ -44,7 +52,9 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_quality": op2_quality,
     "op4_mix_sources": op4_mix_sources,
+    "op5_language": op5_language,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
