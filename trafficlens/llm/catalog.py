@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import bpe, exact, language, mixing, neardup, quality, simhash, toxicity, warc
+from trafficlens.llm import bpe, exact, language, lm, mixing, neardup, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(_table(spark, folder, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_quality": op2_quality,
+    "op3_language_model": op3_language_model,
     "op4_mix_sources": op4_mix_sources,
     "op5_language": op5_language,
     "op6_near_duplicates": op6_near_duplicates,
