@@ -46,6 +46,8 @@ LEVEL = 5
 NOISE, SMOOTH = 1, 50
 # steps of the evidence that calibration tells apart
 STEPS = 32
+# pairs of pieces that are tried around the words, and texts of each class that they are tried on
+FRAMES, TRIED_ON = 6, 200
 # distinct words that a task remembers
 REMEMBERED = 300_000
 
@@ -125,10 +127,12 @@ def _runs(text: str, size: int) -> list[bytes]:
 class Windows:
     """Bytes that the toxic dictionary saves, window by window."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, ordinary: bytes, toxic: bytes, frame: int = 0):
+        """frame: which of FRAMES pairs of pieces of the common part stands around each word."""
         self.plain, self.bad = self._compressor(ordinary), self._compressor(toxic)
-        half = BASE_BYTES // 2
-        self.before, self.after = ordinary[BASE_BYTES - 100:BASE_BYTES - 36] + b" ", b" " + ordinary[half:half + 24]
+        step = BASE_BYTES // (2 * FRAMES)
+        end, half = BASE_BYTES - 36 - frame * step, BASE_BYTES // 2 - frame * step
+        self.before, self.after = ordinary[max(0, end - 64):end] + b" ", b" " + ordinary[half:half + 24]
         self.known: dict[bytes, int] = {}
 
     @staticmethod
@@ -151,25 +155,39 @@ class Windows:
         return round(STEPS * sum(map(self.saved, words)) / math.sqrt(len(words) + SMOOTH)) / STEPS
 
 
+def _best_frame(contents: tuple[bytes, bytes], ordinary: list[str], toxic: list[str]) -> int:
+    """The frame under which evidence tells the classes apart best, by the share of pairs in order."""
+    def in_order(frame: int) -> float:
+        windows = Windows(*contents, frame)
+        plain, bad = (np.array([windows.evidence(t) for t in texts[:TRIED_ON]]) for texts in (ordinary, toxic))
+        return float((bad[:, None] > plain).mean() - (bad[:, None] < plain).mean()) if len(plain) and len(bad) else 0.0
+
+    return max(range(FRAMES), key=in_order)
+
+
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: dict[int, list[str]] = {0: [], 1: []}
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             texts[label].append(text)
+    # rows arrive in any order; the dictionaries must not depend on it
+    for found in texts.values():
+        found.sort(key=lambda t: zlib.crc32(t.encode()))
     contents = train_dictionaries(texts[0], texts[1])
-    yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in contents], ["ordinary", "toxic"])
+    frame = _best_frame(contents, texts[0], texts[1])
+    yield pa.RecordBatch.from_arrays([*[pa.array([c], pa.binary()) for c in contents], pa.array([frame], pa.int32())], ["ordinary", "toxic", "frame"])
 
 
-def _evidence(ordinary: bytes, toxic: bytes):
+def _evidence(ordinary: bytes, toxic: bytes, frame: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(ordinary, toxic)
+        windows = Windows(ordinary, toxic, frame)
         for batch in batches:
             found = [windows.evidence(t.as_py() or "") for t in batch.column(batch.schema.get_field_index("text"))]
             yield batch.append_column("_evidence", pa.array(found, pa.float64()))
     return run
 
 
-def measured(docs: DataFrame, contents: tuple[bytes, bytes]) -> DataFrame:
+def measured(docs: DataFrame, contents: tuple[bytes, bytes, int]) -> DataFrame:
     """The rows with their evidence, stored: texts are not shuffled."""
     schema = T.StructType([*docs.schema.fields, T.StructField("_evidence", T.DoubleType())])
     return materialize(docs.mapInArrow(_evidence(*contents), schema), "evidence")
@@ -180,8 +198,8 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
     return labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes]:
-    """Dictionaries from at most SAMPLE_ROWS rows of each class, taken in the order of the MD5 of the id.
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, int]:
+    """Dictionaries and frame from at most SAMPLE_ROWS rows of each class, taken in the order of the MD5 of the id.
     A third of the labelled rows outside the held-out ones is left for calibration."""
     order = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     known = labelled(labels, "toxic").filter((fold("doc_id", FOLDS) != HELD_OUT) & ~_calibrates())
@@ -192,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes]:
     texts = (docs.select("doc_id", whole("text").alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
              .join(F.broadcast(sample), "doc_id").select((F.col("label") > 0).cast("int").alias("label"), "text"))
     # the sample may hold ids that repeat in the documents; their rows are few
-    found = texts.repartition(1).mapInArrow(_trained, "ordinary binary, toxic binary").first()
-    return (b"", b"") if found is None else (bytes(found[0]), bytes(found[1]))
+    found = texts.repartition(1).mapInArrow(_trained, "ordinary binary, toxic binary, frame int").first()
+    return (b"", b"", 0) if found is None else (bytes(found[0]), bytes(found[1]), found[2])
 
 
 def _calibrates():
