@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -9,11 +11,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.mkdtemp(prefix="trafficlens-test-")
     session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4")
-               .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+               .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", shared)
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "America/New_York").getOrCreate())
     session.sparkContext.setLogLevel("OFF")
     yield session
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from trafficlens.config import HttpTextSettings, ScaleSettings, Settings
+from trafficlens.config import HttpTextSettings
 from trafficlens.operators.features import session_features
 from trafficlens.operators.skew import number_rows
 from trafficlens.sources import http_text
@@ -41,9 +41,8 @@ def test_blocks_and_parsing(spark, path, name):
     assert all(r["body"] == "" for r in rows)
 
 
-@pytest.mark.parametrize("scale", [ScaleSettings(), ScaleSettings(hot_rows=2, chunk_rows=2)])
-def test_bodies_can_be_attached(spark, path, scale):
-    blocks = http_text.attach_bodies(http_text.read_blocks(spark, f"{path}/plain.txt"), Settings(scale=scale))
+def test_bodies_can_be_attached(spark, path):
+    blocks = http_text.attach_bodies(http_text.read_blocks(spark, f"{path}/plain.txt"))
     rows = http_text.parse_blocks(blocks).orderBy(*http_text.BLOCK_ORDER).collect()
     assert [(r["method"], r["body"]) for r in rows] == [
         ("GET", ""), ("POST", "id=12"), ("GET", "only"), ("DELETE", "")]
@@ -56,8 +55,8 @@ def test_many_small_splits_lose_nothing(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
+        assert spark.read.text(f"{folder}/big.txt").rdd.getNumPartitions() > 8
         parsed = http_text.parse_blocks(http_text.read_blocks(spark, f"{folder}/big.txt"))
-        assert parsed.rdd.getNumPartitions() > 8
         numbered = number_rows(parsed, [F.col(c) for c in http_text.BLOCK_ORDER])
         found = {r["row_no"]: r["url"] for r in numbered.collect()}
     finally:
@@ -65,6 +64,30 @@ def test_many_small_splits_lose_nothing(spark):
     assert found == {i + 1: f"/p/{i}" for i in range(3000)}
 
 
+def test_line_ends_and_splits_do_not_matter(spark):
+    """LF and CRLF files in one folder, separators with blanks, two split sizes, two folders: equal rows."""
+    found = []
+    for split in ("4096", "100000000"):
+        folder = tempfile.mkdtemp(prefix="trafficlens-test-")
+        for name, eol in (("lf.txt", "\n"), ("crlf.txt", "\r\n")):
+            gap = f"{eol} \t{eol}{eol}" if name == "crlf.txt" else eol * 2
+            blocks = [f"GET /q/{i}?x={i % 7} HTTP/1.1{eol}User-Agent: u{i % 5}{eol}X: {'y' * (i % 90)}" for i in range(700)]
+            with open(f"{folder}/{name}", "w", newline="") as f:
+                f.write(eol + gap.join(blocks) + eol)
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            blocks = http_text.read_blocks(spark, folder).withColumn("label", F.lit(1))
+            rows = http_text.to_requests(http_text.parse_blocks(blocks))
+            found.append(sorted((os.path.basename(r["file"]), r["block_no"], r["url"], r["user_agent"], r["status_code"], r["response_size_bytes"])
+                                for r in rows.collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found[0] == found[1] and len(found[0]) == 1400
+    assert [r[1:3] for r in found[0]] == [(i + 1, f"/q/{i}?x={i % 7}") for i in range(700)] * 2
+    assert len({r[4] for r in found[0]}) > 2
+
+
 def test_missing_file_is_an_error(spark, path):
     with pytest.raises(AnalysisException):
         http_text.load_labelled(spark, path).count()

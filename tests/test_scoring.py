@@ -116,32 +116,43 @@ def test_ensemble(features, scores, risk, firing):
 
 # --- decisions -----------------------------------------------------------------------------------------
 
+# risk, action in general, in checkout, and on a login page with stricter context; some lie on a floor
+LADDER = [(0.0, "allow", "allow", "allow"), (0.2999, "allow", "allow", "monitor"), (0.30, "monitor", "allow", "monitor"),
+          (0.47, "monitor", "monitor", "throttle"), (0.55, "throttle", "monitor", "throttle"), (0.6999, "throttle", "throttle", "challenge"),
+          (0.70, "challenge", "throttle", "challenge"), (0.8499, "challenge", "challenge", "block"), (0.85, "block", "challenge", "block"),
+          (1.0, "block", "block", "block")]
+
+
 @pytest.fixture
-def risks(spark):
-    rows = [(str(r), r, "why", "AS15169" if r == 0.92 else None) for r in (0.1, 0.4, 0.65, 0.78, 0.92)]
-    return spark.createDataFrame(rows, "session_id string, risk_score double, explanation string, asn string")
+def ladder(spark):
+    rows = [(f"s{k}", step[0], f"signals {k}", ["AS8075", "AS64500", None][k % 3]) for k, step in enumerate(LADDER)]
+    return spark.createDataFrame(rows, "session_id string, risk_score double, explanation string, asn string").repartition(3)
 
 
-def actions(decided):
-    return [r["action"] for r in decided.orderBy("risk_score").collect()]
+def by_session(decided):
+    return [r for r in sorted(decided.collect(), key=lambda r: r["session_id"])]
 
 
-def test_actions_and_parameters(risks):
-    decided = mitigation.decide(risks)
-    assert actions(decided) == ["allow", "monitor", "throttle", "challenge", "block"]
-    rows = decided.orderBy("risk_score").collect()
-    assert [r["reason"] for r in rows] == ["clean traffic"] + ["why"] * 4
-    assert rows[4]["block_ttl_s"] == 3600 and rows[2]["delay_ms"] == 2000 and rows[3]["challenge_type"] == "js_proof_of_work"
-    assert sum(r["n_decisions"] for r in mitigation.action_summary(decided).collect()) == 5
+def test_actions_and_parameters(ladder):
+    rows = by_session(mitigation.decide(ladder))
+    assert [r["action"] for r in rows] == [step[1] for step in LADDER]
+    for k, r in enumerate(rows):
+        assert r["reason"] == ("clean traffic" if r["action"] == "allow" else f"signals {k}")
+        assert r["delay_ms"] == (2000 if r["action"] == "throttle" else 0)
+        assert r["block_ttl_s"] == (3600 if r["action"] == "block" else 0)
+        assert r["challenge_type"] == ("js_proof_of_work" if r["action"] == "challenge" else None)
+    counted = {r["action"]: r["n_decisions"] for r in mitigation.action_summary(mitigation.decide(ladder)).collect()}
+    assert counted == {"allow": 2, "monitor": 2, "throttle": 2, "challenge": 2, "block": 2}
 
 
-def test_context_and_allow_list(risks):
-    assert actions(mitigation.decide(risks, context="checkout")) == ["allow", "monitor", "throttle", "throttle", "challenge"]
+def test_context_and_allow_list(ladder):
+    assert [r["action"] for r in by_session(mitigation.decide(ladder, context="checkout"))] == [step[2] for step in LADDER]
     strict = Settings(mitigation=MitigationSettings(stricter_context=True))
-    assert actions(mitigation.decide(risks, strict, context="login")) == ["allow", "monitor", "challenge", "block", "block"]
-    assert actions(mitigation.decide(risks, context="nowhere")) == actions(mitigation.decide(risks))
-    free = mitigation.decide(risks, allow_list=True).orderBy("risk_score").collect()[-1]
-    assert (free["action"], free["reason"]) == ("allow", "allowlisted IP/ASN")
+    assert [r["action"] for r in by_session(mitigation.decide(ladder, strict, context="login"))] == [step[3] for step in LADDER]
+    plain = mitigation.decide(ladder)
+    assert [r["action"] for r in by_session(mitigation.decide(ladder, context="nowhere"))] == [r["action"] for r in by_session(plain)]
+    for k, r in enumerate(by_session(mitigation.decide(ladder, allow_list=True))):
+        assert (r["action"], r["reason"]) == ("allow", "allowlisted IP/ASN") or k % 3 and r["action"] == LADDER[k][1]
 
 
 def test_repeat_offenders_with_hot_addresses(spark, small_scale):
@@ -155,12 +166,16 @@ def test_repeat_offenders_with_hot_addresses(spark, small_scale):
 
 # --- evaluation ------------------------------------------------------------------------------------------
 
-def test_perfect_scores(spark):
-    perfect = frame(spark, [0, 0, 1, 1, 1], [0.0, 0.1, 0.9, 0.95, 0.8])
-    row = evaluation.full_report(perfect).first()
-    assert (row["precision"], row["recall"], row["fpr"], row["auroc"], row["auprc"]) == (1.0, 1.0, 0.0, 1.0, 1.0)
-    by_label = evaluation.confusion_metrics(perfect.withColumn("guess", F.lit(1)), prediction="guess").first()
-    assert (by_label["tp"], by_label["fp"], by_label["tn"], by_label["fn"]) == (3, 2, 0, 0)
+def test_report_of_separable_scores(spark):
+    """Ties inside a class, unequal classes, and a score on the threshold itself."""
+    labels, scores = [1] * 4 + [0] * 9, [0.5, 0.75, 0.75, 0.99] + [0.49, 0.49, 0.2, 0.2, 0.2, 0.0, 0.0, 0.31, 0.07]
+    data = frame(spark, labels, scores)
+    row = evaluation.full_report(data, 0.5).first()
+    assert (row["tp"], row["fp"], row["tn"], row["fn"]) == (4, 0, 9, 0) and (row["auroc"], row["auprc"]) == (1.0, 1.0)
+    higher = evaluation.full_report(data, 0.75).first()
+    assert (higher["tp"], higher["fn"], higher["recall"], higher["precision"]) == (3, 1, 0.75, 1.0)
+    given = evaluation.confusion_metrics(data.withColumn("guess", (F.col("y_score") < 0.3).cast("int")), prediction="guess").first()
+    assert (given["tp"], given["fp"], given["tn"], given["fn"]) == (0, 6, 3, 4)
 
 
 @pytest.mark.parametrize("seed,digits", [(0, 9), (1, 1), (2, 2)])
@@ -182,18 +197,20 @@ def test_one_class_only(spark):
     assert evaluation.auroc(frame(spark, [0, 0], [0.2, 0.8])).first()[0] == 0.0
 
 
-def test_optimal_threshold_equals_loops(spark):
-    random.seed(5)
-    labels = [0] * 700 + [1] * 300
-    scores = [random.random() * 0.5 for _ in range(700)] + [0.4 + random.random() * 0.6 for _ in range(300)]
-    best, best_recall = 0.5, 0.0
+@pytest.mark.parametrize("sizes,overlap", [((130, 61), 0.15), ((40, 350), 0.0), ((411, 97), 0.35)])
+def test_optimal_threshold_equals_loops(spark, sizes, overlap):
+    draw = random.Random(sizes[0])
+    low = [draw.betavariate(2, 6) * (0.6 + overlap) for _ in range(sizes[0])]
+    # every third attack score lies on a cut point
+    high = [evaluation.THRESHOLDS[draw.randrange(30, 90)] if k % 3 == 0 else 0.35 + 0.65 * draw.random() for k in range(sizes[1])]
+    allowed = {}
     for cut in evaluation.THRESHOLDS:
-        fpr = round(sum(s >= cut for s in scores[:700]) / 700, 4)
-        recall = round(sum(s >= cut for s in scores[700:]) / 300, 4)
-        if fpr <= 0.01 and recall > best_recall:
-            best, best_recall = cut, recall
-    row = evaluation.optimal_threshold(frame(spark, labels, scores)).first()
-    assert row["threshold"] == best and row["recall"] == best_recall and row["fpr"] <= 0.01
+        fpr, recall = (round(sum(s >= cut for s in side) / len(side), 4) for side in (low, high))
+        if fpr <= 0.02 and recall > 0:
+            allowed[cut] = (recall, fpr)
+    cut = min(allowed, key=lambda c: (-allowed[c][0], c))
+    row = evaluation.optimal_threshold(frame(spark, [0] * len(low) + [1] * len(high), low + high), 0.02).first()
+    assert (row["threshold"], row["recall"], row["fpr"]) == (cut, *allowed[cut])
 
 
 def test_optimal_threshold_falls_back(spark):
@@ -201,9 +218,11 @@ def test_optimal_threshold_falls_back(spark):
 
 
 def test_per_class(spark):
-    rows = {r["traffic_class"]: r for r in evaluation.per_class_metrics(frame(spark, [0] * 5 + [1] * 5, [0.1] * 5 + [0.9] * 5)).collect()}
-    assert rows["human"]["fpr"] == 0.0 and rows["human"]["correctly_allowed"] == 5 and rows["human"]["recall"] is None
-    assert rows["llm_agent"]["recall"] == 1.0 and rows["llm_agent"]["missed"] == 0
+    labels, scores = [0] * 8 + [1] * 3, [0.0, 0.2, 0.49, 0.5, 0.51, 0.1, 0.3, 0.9, 0.5, 0.4, 0.0]
+    rows = {r["traffic_class"]: r for r in evaluation.per_class_metrics(frame(spark, labels, scores)).collect()}
+    people, agents = rows["human"], rows["llm_agent"]
+    assert (people["n"], people["false_positives"], people["correctly_allowed"], people["fpr"], people["recall"]) == (8, 3, 5, 0.375, None)
+    assert (agents["n"], agents["detected"], agents["missed"], agents["recall"], agents["fpr"]) == (3, 1, 2, 0.3333, None)
 
 
 def test_metric_flags(spark):

@@ -61,13 +61,34 @@ def test_rates_equal_the_batch(spark, log):
         assert missing.filter(F.col("window_start_ms") + 60_000 < last - 600_000 - 300_000).count() == 0
 
 
+def test_nothing_is_missing_at_the_end(spark, log):
+    rows = spark.read.parquet(log)
+    timed = windows.with_event_time(stream_of(spark, log))
+    closed = windows.run_to_end(windows.closed_sessions(timed, "ip"), "test-sessions")
+    found = windows.with_open_sessions(closed, rows, "ip").collect()
+    want = extras.sessionize_gap(rows).collect()
+    assert len(found) > closed.count()
+    assert sorted((r["ip"], r["start_ms"], r["end_ms"], r["n_requests"]) for r in found) == sorted(
+        (r["ip"], int(r["start_ms"]), int(r["end_ms"]), r["n_requests"]) for r in want)
+    for slide, length in ((None, "1 minute"), ("1 minute", "5 minutes")):
+        done = windows.run_to_end(windows.rates(timed, "ip", length, slide), "test-rates")
+        whole = windows.with_open_windows(done, rows, "ip", length, slide)
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, extras.rpm_windows(rows, "ip", length, slide).collect()))
+
+
+def test_scoring_reads_only_the_span_of_the_sessions(spark, log):
+    closed = batch_sessions(spark, log).withColumn("start_ms", F.floor("start_ms")).withColumn("end_ms", F.floor("end_ms")).limit(2)
+    plan = windows.requests_of(closed, spark.read.parquet(log), "ip")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp_ms" in plan and "LessThan(timestamp_ms" in plan
+
+
 def test_closed_sessions_are_scored(spark, log):
     out = new_path(spark, "test-decisions")
     timed = windows.with_event_time(stream_of(spark, log))
     windows.run_batches(windows.closed_sessions(timed, "ip"), windows.score_closed(log, out), "test-score")
     found = spark.read.parquet(out)
     closed = batch_sessions(spark, log)
-    whole = windows.requests_of(closed.withColumn("start_ms", F.floor("start_ms")), spark.read.parquet(log), "ip")
+    whole = windows.requests_of(closed.withColumn("start_ms", F.floor("start_ms")).withColumn("end_ms", F.floor("end_ms")), spark.read.parquet(log), "ip")
     want = scoring.decide_requests(whole)
     key = lambda r: (r["session_id"], r["action"], round(r["risk_score"], 9))
     assert sorted(map(key, found.collect())) == sorted(map(key, want.collect()))

@@ -17,12 +17,12 @@ CLASS_LABELS = {
 BOT_AGENT_WORDS = ("python", "scrapy", "curl", "wget", "java", "go-http", "okhttp")
 
 # JA3 hashes of known automation stacks.
-KNOWN_JA3 = {
-    "e7d705a3286e19ea42f587b344ee6865": "scrapy",
-    "5765db2da7f2bfc028a93aca42df2e45": "python requests",
-    "b32309a26951912be7dba376398abc3b": "curl or wget",
-    "3b5074b1b5d032e5620f69f9f700ff0e": "selenium",
-}
+KNOWN_JA3 = (
+    "e7d705a3286e19ea42f587b344ee6865",
+    "5765db2da7f2bfc028a93aca42df2e45",
+    "b32309a26951912be7dba376398abc3b",
+    "3b5074b1b5d032e5620f69f9f700ff0e",
+)
 
 # Headers every browser sends.
 BROWSER_HEADERS = (
@@ -41,8 +41,11 @@ ALLOWED_ASNS = ("AS15169", "AS8075", "AS16509")
 class ScaleSettings:
     """When a key counts as hot, and how large the pieces of a hot key are."""
 
-    hot_rows: int = 5_000_000
-    chunk_rows: int = 1_000_000
+    hot_rows: int = 500_000
+    chunk_rows: int = 250_000
+
+
+# Fixed values from here on: windows, thresholds, weights, floors and shifts of the definitions.
 
 
 @dataclass(frozen=True)
@@ -53,7 +56,7 @@ class FeatureSettings:
     url_entropy_window: int = 50
     regularity_run: int = 5
     browser_headers: tuple[str, ...] = BROWSER_HEADERS
-    known_ja3: tuple[str, ...] = tuple(KNOWN_JA3)
+    known_ja3: tuple[str, ...] = KNOWN_JA3
 
 
 @dataclass(frozen=True)

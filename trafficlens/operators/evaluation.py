@@ -115,8 +115,9 @@ def threshold_grid(scored: DataFrame) -> DataFrame:
     spark = scored.sparkSession
     cuts = F.array(*[F.lit(t) for t in THRESHOLDS])
     reached = F.aggregate(cuts, F.lit(0), lambda acc, t: acc + F.when(F.col("y_score") >= t, 1).otherwise(0))
-    buckets = scored.groupBy(reached.alias("bucket")).agg(
-        F.expr("count_if(y_true = 1) as pos"), F.expr("count_if(y_true = 0) as neg"))
+    # equal scores first: the steps are looked up once per distinct score
+    distinct = scored.groupBy("y_score").agg(F.expr("count_if(y_true = 1) as pos"), F.expr("count_if(y_true = 0) as neg"))
+    buckets = distinct.groupBy(reached.alias("bucket")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # step 0 is reached by every score and so holds the totals
     grid = spark.createDataFrame(list(enumerate((0.0, *THRESHOLDS))), "step int, threshold double")
     spread = buckets.select("pos", "neg", F.explode(F.sequence(F.lit(0), "bucket")).alias("step"))

@@ -56,12 +56,11 @@ def rpm_zscore(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
 
 
 def consecutive_404s(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
-    """Longest run of 404 per session. A run is the 404 rows with equal count of others before."""
+    """Longest run of 404 per session, 0 without any. A run is the 404 rows with equal count of others before."""
     def build(part: DataFrame) -> DataFrame:
         rows = with_history(part.select(*KEYS, *ORDER, "status_code", *chunk_column(part)))
         marked = with_running_sum(rows, fn.flag(F.col("status_code") != 404), "run")
-        runs = (marked.filter("status_code = 404").groupBy("session_id", "run")
-                .agg(F.count(F.lit(1)).alias("length")))
+        runs = marked.groupBy("session_id", "run").agg(F.sum(fn.flag(F.col("status_code") == 404)).alias("length"))
         return runs.groupBy("session_id").agg(F.max("length").alias("longest"))
 
     longest = split_sessions(requests, config).union_of(build)
@@ -126,7 +125,7 @@ def sessionize_gap(requests: DataFrame, config: Settings = DEFAULT, key: str = "
 
 
 def rpm_windows(requests: DataFrame, key: str = "session_id", length: str = "1 minute",
-                slide: str | None = None, limit: int = 10) -> DataFrame:
+                slide: str | None = None, limit: int = DEFAULT.mitigation.throttle_rpm) -> DataFrame:
     """Requests per key and time window, and whether they exceed a rate limit."""
     at = fn.event_time(F.col("timestamp_ms"))
     frame = F.window(at, length, slide) if slide else F.window(at, length)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.config import DEFAULT, KNOWN_JA3, Settings
+from trafficlens.config import DEFAULT, Settings
 from trafficlens.functions import columns as fn
 from trafficlens.operators.sequence import with_history
 from trafficlens.operators.skew import split_hot
@@ -23,8 +23,8 @@ def allowed_by_table(sessions: DataFrame, allow_table: DataFrame) -> DataFrame:
             .withColumn("is_allowed", F.coalesce("_listed", F.lit(False))).drop("_listed"))
 
 
-def known_ja3(requests: DataFrame, keep_known: bool = True) -> DataFrame:
-    known = F.coalesce(F.col("ja3").isin(*KNOWN_JA3), F.lit(False))
+def known_ja3(requests: DataFrame, keep_known: bool = True, config: Settings = DEFAULT) -> DataFrame:
+    known = F.coalesce(F.col("ja3").isin(*config.features.known_ja3), F.lit(False))
     return requests.filter(known if keep_known else ~known)
 
 

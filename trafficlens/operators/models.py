@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from trafficlens.config import DEFAULT, ModelSettings, Settings
 from trafficlens.functions.columns import class_label
 from trafficlens.operators.features import FEATURE_NAMES
-from trafficlens.operators.skew import number_rows, shared_dir
+from trafficlens.operators.skew import materialize, number_rows, shared_dir
 
 # functions of this module travel inside the UDFs, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EULER_GAMMA = 0.5772156649015329
+TRAIN_ROWS = 50_000
 
 
 # --- splits and vectors ------------------------------------------------------------------------
@@ -40,15 +41,18 @@ def train_test_split(df: DataFrame, fraction: float = 0.2, seed: int = 42, key:
     Exact gives floor(n * fraction) test rows and stores the numbered frame once, which a fit then
     reads many times. Otherwise rows are split by hash alone: no shuffle, size within sampling error.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(key, F.lit(seed)))
     if not exact:
-        cut = int((fraction - 0.5) * 2**64)
-        return (hashed.filter(F.col("_hash") >= cut).drop("_hash"),
-                hashed.filter(F.col("_hash") < cut).drop("_hash"))
-    numbered = number_rows(hashed, [F.col("_hash"), F.col(key)], "split")
+        low = F.conv(F.substring(seeded_keys(key, seed)[0], 1, 8), 16, 10).cast("bigint") < int(fraction * 2**32)
+        return df.filter(~low), df.filter(low)
+    numbered = number_rows(df, seeded_keys(key, seed), "split")
     n_test = int(numbered.count() * fraction)
-    return (numbered.filter(F.col("row_no") > n_test).drop("_hash", "row_no"),
-            numbered.filter(F.col("row_no") <= n_test).drop("_hash", "row_no"))
+    return (numbered.filter(F.col("row_no") > n_test).drop("row_no"),
+            numbered.filter(F.col("row_no") <= n_test).drop("row_no"))
+
+
+def seeded_keys(key: str, seed: int = 42) -> list[Column]:
+    """Sort keys of a repeatable shuffle: the MD5 of key and seed, then the key."""
+    return [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), F.col(key)]
 
 
 def first_part(df: DataFrame, fraction: float, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +65,7 @@ def first_part(df: DataFrame, fraction: float, order: Sequence[Column]) -> tuple
 
 def seeded_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A repeatable shuffle: range-partitioned sort on a hash."""
-    return df.withColumn("_hash", F.xxhash64(key, F.lit(seed))).orderBy("_hash", key).drop("_hash")
+    return df.orderBy(*seeded_keys(key, seed))
 
 
 def assembler(names: Sequence[str] = FEATURE_NAMES) -> VectorAssembler:
@@ -89,18 +93,31 @@ def _require_rows(df: DataFrame, settings: ModelSettings) -> None:
 
 def fit_boosting(train: DataFrame, config: Settings = DEFAULT,
                  names: Sequence[str] | None = None) -> PipelineModel:
-    """Scaler and boosted trees on the label; `names` limits the vector to some features."""
+    """Scaler and boosted trees on the label; `names` limits the vector to some features.
+
+    The training rows are stored once, in partitions of about TRAIN_ROWS: every level of every tree is a job over them.
+    """
     m = config.models
     _require_rows(train, m)
-    shared_dir(train.sparkSession)  # boosting checkpoints there every ten trees
+    shared_dir(train.sparkSession)  # boosting checkpoints there
+    rows = materialize(train.select("label", *FEATURE_NAMES), "training")
+    train = rows.coalesce(max(1, -(-rows.count() // TRAIN_ROWS)))
     sliced = VectorSlicer(inputCol="all_features", outputCol="features", names=list(names or FEATURE_NAMES))
     whole = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="all_features")
     trees = GBTClassifier(featuresCol="scaled", labelCol="label", maxIter=m.boost_trees,
                           maxDepth=m.boost_depth, stepSize=m.boost_rate,
-                          subsamplingRate=m.boost_subsample, seed=m.seed)
+                          subsamplingRate=m.boost_subsample, seed=m.seed, cacheNodeIds=True,
+                          checkpointInterval=50, maxMemoryInMB=512)
     return Pipeline(stages=[whole, sliced, scaler(), trees]).fit(train)
 
 
+def fit_boosting_on_best(train: DataFrame, config: Settings = DEFAULT) -> PipelineModel:
+    """Boosted trees on the `top_features` most important features of a first fit on all."""
+    first = fit_boosting(train, config)
+    best = top_features(train.sparkSession, first, config.models.top_features).collect()
+    return fit_boosting(train, config, [row["feature"] for row in best])
+
+
 def with_boosting(features: DataFrame, model: PipelineModel) -> DataFrame:
     """Adds gb_score (probability of class 1) and gb_prediction."""
     scored = model.transform(features)

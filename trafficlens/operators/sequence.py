@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.config import DEFAULT, Settings
-from trafficlens.operators.skew import CHUNK, Split, split_hot
+from trafficlens.operators.skew import CHUNK, Split, materialize, split_hot
 
 KEYS = ("session_id",)
 ORDER = ("timestamp_ms", "request_id")
@@ -41,7 +41,8 @@ def _chunk_offsets(part: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per (key, chunk): rows in it and rows of the key before it."""
     sizes = part.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    # a stored table, so that its size is known and decides how it is joined
+    return materialize(sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))), "offsets")
 
 
 def _context_rows(part: DataFrame, offsets: DataFrame, keys: Sequence[str],
@@ -50,13 +51,13 @@ def _context_rows(part: DataFrame, offsets: DataFrame, keys: Sequence[str],
     newest = Window.partitionBy(*keys, CHUNK).orderBy(*[F.desc(c) for c in order])
     tails = (part.withColumn("_back", F.row_number().over(newest))
              .filter(F.col("_back") <= depth)
-             .join(F.broadcast(offsets), [*keys, CHUNK])
+             .join(offsets, [*keys, CHUNK])
              .withColumn("_pos", F.col("_before") + F.col("_rows") - F.col("_back") + 1))
     # the row at position p precedes the chunks that start after p, p+1, ... p+depth-1 rows
     reach = (tails.drop(CHUNK, "_before", "_rows", "_back")
              .withColumn("_before", F.explode(F.sequence("_pos", F.col("_pos") + depth - 1))))
     starts = offsets.select(*keys, "_before", CHUNK)
-    return reach.join(F.broadcast(starts), [*keys, "_before"]).select(*part.columns)
+    return reach.join(starts, [*keys, "_before"]).select(*part.columns)
 
 
 def with_history(part: DataFrame, lags: dict[str, int] | None = None,
@@ -83,7 +84,7 @@ def with_history(part: DataFrame, lags: dict[str, int] | None = None,
     seen = (rows.select("*", F.row_number().over(ordered).alias("_local"),
                         *_lag_columns(lags, ordered))
             .filter(~F.col("_context"))
-            .join(F.broadcast(offsets), [*keys, CHUNK])
+            .join(offsets, [*keys, CHUNK])
             .withColumn("rn", F.col("_local") + F.col("_before")
                         - F.least(F.lit(depth), F.col("_before")))
             .drop("_context", "_local", "_before", "_rows"))
@@ -103,7 +104,7 @@ def _join_totals(rows: DataFrame, part: DataFrame, totals: dict[str, str], keys:
     if not totals:
         return rows
     whole = part.groupBy(*keys).agg(*[F.expr(c).alias(n) for n, c in totals.items()])
-    return rows.join(F.broadcast(whole), list(keys))
+    return rows.join(whole, list(keys))
 
 
 def with_running_sum(part: DataFrame, value: Column, name: str,
@@ -118,7 +119,7 @@ def with_running_sum(part: DataFrame, value: Column, name: str,
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, CHUNK,
                           F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    return (valued.join(F.broadcast(offsets), [*keys, CHUNK])
+    return (valued.join(offsets, [*keys, CHUNK])
             .withColumn(name, F.sum("_value").over(upto) + F.col("_offset"))
             .drop("_value", "_offset"))
 

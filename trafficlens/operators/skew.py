@@ -7,13 +7,14 @@ pieces, and written to shared storage once so that the piece numbers never chang
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.config import ScaleSettings
@@ -22,11 +23,13 @@ CHUNK = "_chunk"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only for local runs without it."""
+    """Folder named by spark.checkpoint.dir. A local run without it gets one beside the warehouse, removed at its end."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None and context.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="trafficlens-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+        named = f"{warehouse}/trafficlens-{context.applicationId}"
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if named is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
@@ -58,22 +61,19 @@ class Split:
         return reduce(DataFrame.unionByName, [build(p) for p in parts])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
-    """Keys with more than `limit` rows: at most rows / limit of them, so small enough to send."""
-    if df.count() <= limit:
-        return None
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
-    found = counted.collect()
-    return df.sparkSession.createDataFrame(found, counted.schema) if found else None
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> list[Row]:
+    """Keys with more than `limit` rows and their count: at most rows / limit of them. One grouped count, which
+    is combined before the shuffle and reads the key columns only."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).collect()
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               scale: ScaleSettings) -> Split:
     found = hot_keys(df, keys, scale.hot_rows)
-    if found is None:
+    if not found:
         return Split(df)
-    names = F.broadcast(found.select(*keys))
-    pieces = sum(-(-row["rows"] // scale.chunk_rows) for row in found.collect())
+    names = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], df.select(*keys).schema)
+    pieces = sum(-(-row["rows"] // scale.chunk_rows) for row in found)
     hot = (df.join(names, list(keys), "left_semi")
              .repartitionByRange(pieces, *keys, *order)
              .withColumn(CHUNK, F.spark_partition_id()))
@@ -91,11 +91,12 @@ def cumulative(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
                           name)
     before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = chunked.groupBy(CHUNK).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    offsets = totals.select(CHUNK, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}")
-                                     for n in sums])
+    # a stored table, so that its size is known and decides how it is joined
+    offsets = materialize(totals.select(CHUNK, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in sums]),
+                          "offsets")
     upto = (Window.partitionBy(CHUNK).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (chunked.join(F.broadcast(offsets), CHUNK)
+    return (chunked.join(offsets, CHUNK)
             .select(*[F.col(c) for c in df.columns],
                     *[(F.sum(c).over(upto) + F.col(f"_{n}")).alias(n) for n, c in sums.items()]))
 

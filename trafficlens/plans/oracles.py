@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+# fixed values: fingerprints of known automation
+JA3 = ("'e7d705a3286e19ea42f587b344ee6865', '5765db2da7f2bfc028a93aca42df2e45', "
+       "'b32309a26951912be7dba376398abc3b', '3b5074b1b5d032e5620f69f9f700ff0e'")
+
+
+def _md5_number(text: str) -> str:
+    return f"cast('0x' || substr(md5({text}), 1, 8) as bigint)"
+
+
 BASE = """
 e as (
   select event_id, user_id, event_type, value, ts, epoch_us(ts) as ts_us,
@@ -290,6 +299,7 @@ def oracle_sql(families: dict) -> dict[str, str]:
     in_page = DECIDE.format(context="page", free="false")
     listed = DECIDE.format(context="'general'", free="asn in ('AS15169', 'AS8075', 'AS16509')")
     all_features = ", ".join(_t(v, k) for k, v in FEATURE_SQL.items())
+    raw_features = ", ".join(f"({v})::double as {k}" for k, v in FEATURE_SQL.items())
     r4 = ", ".join(f"{R4.format(v)} as {k}" for k, v in RATES.items())
     parameters = """case when action = 'throttle' then 2000 else 0 end as delay_ms,
         case when action = 'block' then 3600 else 0 end as block_ttl_s,
@@ -304,6 +314,10 @@ v as (select *, sum(case when gap is null or gap >= 300000 then 1 else 0 end)
                over (partition by user_key order by ms, event_id rows unbounded preceding) as session_no from u),
 w as (select user_key, session_no::bigint as session_no, count(*) as n_requests, min(ms) as start_ms, max(ms) as end_ms
       from v group by user_key, session_no)"""
+    held = f"""{base}, s as (select session_id, max(label) as label from r group by session_id),
+held as (select *, row_number() over (order by md5(session_id || ':42'), session_id) as place,
+                floor(count(*) over () * 0.2) as n_test from s)"""
+    scaled = ", ".join(f"""round(coalesce(({c} - avg({c}) over ()) / nullif(stddev_samp({c}) over (), 0), 0), 4) + 0.0 as {c}""" for c in FEATURE_SQL)
     sql = {name: _family(names) for name, names in families.items()}
     sql |= {
         # sources
@@ -314,16 +328,18 @@ w as (select user_key, session_no::bigint as session_no, count(*) as n_requests,
             cast(max(timestamp_ms) - min(timestamp_ms) as bigint) as duration_ms,
             cast(min(timestamp_ms) as bigint) as start_time_ms, max(traffic_class) as traffic_class, max(label) as label
             from r group by session_id""",
-        "nested_sessions": f"""{base} select session_id, count(*) as n_requests,
-            string_agg(url, ' ' order by timestamp_ms, request_id) as urls from r group by session_id""",
+        "nested_sessions": f"""{seq} select session_id, ((rn - 1) // 7)::bigint as part_no, count(*) as n_requests,
+            string_agg(url, ' ' order by rn) as urls from o group by session_id, part_no""",
         "http_parse": f"""{base} select request_id, method, url, 'HTTP/1.1' as version, user_agent, '127.0.0.1:8080' as host,
             '' as body from r""",
         "http_blocks": f"""{base} select method, url, user_agent, count(*) as n_blocks from r
             group by method, url, user_agent""",
-        "http_normalize": f"""{base} select method, url,
+        "http_normalize": f"""{base} select method, url, user_agent, label,
+            case when label = 1 then ([200, 400, 403, 500, 200, 200])[{_md5_number("method || '|' || url || '|' || user_agent || '||42'")} % 6 + 1]
+                 else 200 end as status_code, {_md5_number('url')} % 50000 + 5000 as response_size_bytes,
             (contains(url, '/api/') or contains(url, '/rest/') or contains(url, '/json/') or contains(url, '/xml/'))::int as is_api,
             200::bigint as request_size_bytes, 80.0::double as response_time_ms, count(*) as n_requests
-            from r group by method, url""",
+            from r group by method, url, user_agent, label""",
         "http_load_labelled": f"""{base} select label, method, user_agent, count(*) as n_requests from r
             group by label, method, user_agent""",
         "attach_body": f"""{base} select method, url, case when method = 'POST' then concat('id=', request_id) else '' end as body,
@@ -349,8 +365,8 @@ w as (select user_key, session_no::bigint as session_no, count(*) as n_requests,
         "feature_clean": f"""{base} select request_id, case status_code when 404 then 0 when 500 then 1e6 when 401 then -1e6
             else response_size_bytes end::double as value from r""",
         # joins and sets
-        "known_ja3": f"{base} select request_id, ja3 from r where ja3 <> 'browser'",
-        "unknown_ja3": f"{base} select request_id, ja3 from r where ja3 = 'browser'",
+        "known_ja3": f"{base} select request_id, ja3 from r where ja3 in ({JA3})",
+        "unknown_ja3": f"{base} select request_id, ja3 from r where ja3 not in ({JA3})",
         "union_sources": f"""{base} select case label when 0 then 'normal' else 'attack' end as source, label,
             count(*) as n_requests from r group by label""",
         "distinct_pages": f"{base} select distinct session_id, url from r",
@@ -371,8 +387,7 @@ w as (select user_key, session_no::bigint as session_no, count(*) as n_requests,
             {all_features} from f""",
         "feature_matrix": f"""{_with(BASE, FEATURES)} select session_id, label as y_binary,
             case traffic_class when 'human' then 0 when 'simple_bot' then 1 when 'scraper' then 2
-                 when 'cred_stuffer' then 3 else 4 end as y_multi, 51 as n_features,
-            {_t('gm', 'first_feature')}, {_t('llm', 'last_feature')} from f""",
+                 when 'cred_stuffer' then 3 else 4 end as y_multi, 51 as n_features, {all_features} from f""",
         # detectors
         "stat_rules": f"""{det} select session_id, {_t('r1', 'rule_rate')}, {_t('r2', 'rule_regularity')},
             {_t('r3', 'rule_not_found')}, {_t('r4', 'rule_headers')}, {_t('r5', 'rule_agent')},
@@ -452,14 +467,14 @@ w as (select user_key, session_no::bigint as session_no, count(*) as n_requests,
               from range(90) g(i)),
             m as (select threshold, {_counts('threshold')} from t, y group by threshold),
             rated as (select threshold, {r4} from m),
-            won as (select threshold from rated where fpr <= 0.01 and recall > 0 order by recall desc, threshold limit 1)
-            select {_t('coalesce((select threshold from won), 0.5)', 'threshold')}""",
+            won as (select threshold, recall, fpr from rated where fpr <= 0.01 and recall > 0 order by recall desc, threshold limit 1)
+            select {_t('coalesce((select threshold from won), 0.5)', 'threshold')}, (select recall from won) as recall,
+              (select fpr from won) as fpr""",
         # extras and windows
         "sessionize_gap": f"""{_with(gaps_of_user)} select user_key, session_no, n_requests,
             {_t('(end_ms - start_ms) / 1000', 'duration_s')} from w""",
-        "stream_sessions": f"""{_with(gaps_of_user)}, mark as (select max(epoch_us(ts)) / 1000 - 600000 as until from events)
-            select user_key, n_requests, floor(start_ms)::bigint as start_ms, floor(end_ms)::bigint as end_ms from w, mark
-            where end_ms + 300000 <= until""",
+        "stream_sessions": f"""{_with(gaps_of_user)}
+            select user_key, n_requests, floor(start_ms)::bigint as start_ms, floor(end_ms)::bigint as end_ms from w""",
         "rpm_tumbling": f"""{base}, t as (select session_id, floor(timestamp_ms / 60000) * 60000 as ws from r)
             select session_id, ws::bigint as window_start_ms, count(*) as n_requests, (count(*) > 10)::int as over_limit
             from t group by session_id, ws""",
@@ -468,7 +483,7 @@ w as (select user_key, session_no::bigint as session_no, count(*) as n_requests,
             from t group by session_id, ws""",
         "stream_rates": """with t as (select user_id, epoch_us(ts) // 60000000 * 60000 as ws from events)
             select user_id, ws as window_start_ms, count(*) as n_requests, (count(*) > 10)::int as over_limit from t
-            where ws + 60000 <= (select max(epoch_us(ts)) / 1000 - 600000 from events) group by user_id, ws""",
+            group by user_id, ws""",
         "iat_histogram": f"""{seq}, h as (select session_id, gap, min(gap) over p as lo, max(gap) over p as hi from o
               where gap is not null window p as (partition by session_id))
             select session_id, case when hi <= lo then 1 else least(20, floor((gap - lo) / ((hi - lo) / 20)) + 1) end::int as bin,
@@ -476,18 +491,34 @@ w as (select user_key, session_no::bigint as session_no, count(*) as n_requests,
         "url_entropy_last50": f"""{seq}, l as (select session_id, url, count(*) as cnt from o where n - rn < 50 group by session_id, url),
             m as (select *, sum(cnt) over (partition by session_id) as tot from l)
             select session_id, {_t('-sum(cnt / tot * log2(cnt / tot + 1e-12))', 'url_entropy')} from m group by session_id""",
-        "missing_headers": f"""{base} select session_id, request_id,
-            case n_headers when 10 then 0 when 4 then 2 else 4 end as n_missing,
-            case n_headers when 10 then '' when 4 then 'sec-ch-ua,sec-fetch-dest'
-              else 'accept-encoding,accept-language,sec-ch-ua,sec-fetch-dest' end as missing from r""",
+        "missing_headers": f"""{base}, h as (select session_id, request_id, list_filter(
+              ['accept', 'accept-encoding', 'accept-language', 'sec-ch-ua', 'sec-fetch-dest'],
+              lambda x: not list_contains(case traffic_class when 'simple_bot' then ['accept', 'user-agent']
+                when 'scraper' then ['accept', 'accept-language', 'accept-encoding', 'user-agent']
+                else ['accept', 'accept-language', 'accept-encoding', 'sec-fetch-dest', 'sec-fetch-mode', 'sec-fetch-site', 'sec-ch-ua',
+                      'sec-ch-ua-mobile', 'sec-ch-ua-platform', 'upgrade-insecure-requests'] end, x)) as absent from r)
+            select session_id, request_id, len(absent)::int as n_missing, array_to_string(absent, ',') as missing from h""",
         "rpm_zscore": f"""{_with(BASE, FEATURES)}, z as (select session_id, n / dur * 60 as rpm from f)
             select session_id, {_t('rpm', 'rpm')},
               {_t('(rpm - (select avg(rpm) from z)) / (select stddev_samp(rpm) from z)', 'zscore')},
               ((rpm - (select avg(rpm) from z)) / (select stddev_samp(rpm) from z) > 3)::int as is_outlier from z""",
         "consecutive_404s": f"""{seq}, i as (select session_id, rn - row_number() over (partition by session_id order by rn) as island
               from o where status_code = 404),
-            l as (select session_id, island, count(*) as len from i group by session_id, island)
-            select session_id, max(len) as longest, (max(len) >= 5)::int as too_many from l group by session_id""",
+            l as (select session_id, island, count(*) as len from i group by session_id, island),
+            m as (select session_id, max(len) as longest from l group by session_id)
+            select session_id, coalesce(longest, 0)::bigint as longest, (coalesce(longest, 0) >= 5)::int as too_many
+            from (select distinct session_id from r) left join m using (session_id)""",
+        # models
+        "train_test_split": f"""{held} select session_id, label, case when place <= n_test then 'test' else 'train' end as part from held""",
+        "seeded_order": f"""{held} select session_id, label, place as row_no from held""",
+        "scale_features": f"""{_with(BASE, FEATURES)}, fin as (select session_id, {raw_features} from f)
+            select session_id, {scaled} from fin""",
+        "iforest": f"""{held} select session_id, label, 1 as isolation_score_in_range, 1 as prediction_fits from held where place <= n_test""",
+        "gbt": f"""{held} select session_id, label, 1 as gb_score_in_range, 1 as prediction_fits from held where place <= n_test""",
+        "model_roundtrip": f"""{held} select session_id, 1 as is_equal from held where place <= n_test""",
+        "ensemble": f"""{held} select session_id, label, 1 as risk_score_in_range, 1 as at_least_mean, 1 as override_fits,
+            1 as is_explained from held where place <= n_test""",
+        "top_features": """select (i + 1)::int as rank, 1 as is_feature, 1 as is_single, 1 as importance_in_range from range(15) g(i)""",
         "timing_flag": f"""{_with(BASE, FEATURES)} select session_id, (gs < 150)::int as is_regular from f""",
         "regular_runs": f"""{seq}, g as (select session_id, rn, coalesce(abs(gap - gap_before) <= 0.1::double * gap_before, false) as near from o),
             i as (select session_id, rn, rn - row_number() over (partition by session_id order by rn) as island from g where near),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions import columns as fn
@@ -13,7 +14,7 @@ from trafficlens.operators import evaluation as ev
 from trafficlens.operators import extras, mitigation, models, sequence
 from trafficlens.operators.features import (FAMILIES, FEATURE_NAMES, clean_features, family_features,
                                             session_features)
-from trafficlens.operators.skew import materialize, new_path, number_rows
+from trafficlens.operators.skew import materialize, new_path, number_rows, shared_dir
 from trafficlens.plans import scoring
 from trafficlens.sources import http_text
 from trafficlens.sources import requests as req
@@ -62,8 +63,8 @@ def session_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nested_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    nested = req.nested_sessions(requests(spark, folder), 10_000)
-    return nested.select("session_id", "n_requests", F.array_join("requests.url", " ").alias("urls"))
+    nested = req.nested_sessions(requests(spark, folder), 7)
+    return nested.select("session_id", "part_no", "n_requests", F.array_join("requests.url", " ").alias("urls"))
 
 
 def _text_folder(spark: SparkSession, folder: str, body: bool = False) -> str:
@@ -101,7 +102,7 @@ def http_normalize(spark: SparkSession, folder: str) -> DataFrame:
     text = _text_folder(spark, folder)
     loaded = http_text.load_labelled(spark, text)
     return (loaded.withColumn("is_api", F.col("is_api").cast("int"))
-            .groupBy("method", "url", "is_api", "request_size_bytes", "response_time_ms")
+            .groupBy("method", "url", "user_agent", "label", "status_code", "is_api", "request_size_bytes", "response_size_bytes", "response_time_ms")
             .agg(F.count(F.lit(1)).alias("n_requests")))
 
 
@@ -217,9 +218,8 @@ def all_features(spark: SparkSession, folder: str) -> DataFrame:
 def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
     matrix = models.feature_matrix(session_features(requests(spark, folder)))
     values = matrix.withColumn("v", models.vector_to_array("features"))
-    return values.select("session_id", "y_binary", "y_multi", F.size("v").alias("n_features"),
-                         tidy(F.get("v", F.lit(0))).alias("first_feature"),
-                         tidy(F.get("v", F.lit(len(FEATURE_NAMES) - 1))).alias("last_feature"))
+    slots = [F.expr(f"round(v[{k}], 6) + 0D as {name}") for k, name in enumerate(FEATURE_NAMES)]
+    return values.select("session_id", "y_binary", "y_multi", F.size("v").alias("n_features"), *slots)
 
 
 # --- detectors -----------------------------------------------------------------------------------------------
@@ -354,7 +354,7 @@ def threshold_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def optimal_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.optimal_threshold(judged(spark, folder)).select(tidy(F.col("threshold")).alias("threshold"))
+    return ev.optimal_threshold(judged(spark, folder)).select(tidy(F.col("threshold")).alias("threshold"), "recall", "fpr")
 
 
 # --- windows and extras -------------------------------------------------------------------------------------------
@@ -415,27 +415,35 @@ def peak_rpm(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     timed = windows.with_event_time(windows.event_stream(spark, folder))
-    done = windows.run_to_end(windows.closed_sessions(timed, "user_id"), "stream-sessions")
+    closed = windows.run_to_end(windows.closed_sessions(timed, "user_id"), "stream-sessions")
+    done = windows.with_open_sessions(closed, windows.event_rows(spark, folder), "user_id")
     return done.select(F.col("user_id").cast("string").alias("user_key"), "n_requests", "start_ms", "end_ms")
 
 
 def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
     timed = windows.with_event_time(windows.event_stream(spark, folder))
-    return _int_flag(windows.run_to_end(windows.rates(timed, "user_id"), "stream-rates"), "over_limit")
+    done = windows.run_to_end(windows.rates(timed, "user_id"), "stream-rates")
+    return _int_flag(windows.with_open_windows(done, windows.event_rows(spark, folder), "user_id"), "over_limit")
 
 
-# --- models: no SQL equivalent -------------------------------------------------------------------------------------
+# --- models: SQL knows the sessions and what must hold of their scores -------------------------------------------------------------------------------------
 
-_fitted: dict[tuple[str, str], tuple[scoring.Detectors, DataFrame]] = {}
+def _fit(spark: SparkSession, folder: str) -> tuple[scoring.Detectors, DataFrame]:
+    """Detectors and the held-out part. The first query of an application that needs them fits and saves; the others load."""
+    train, test = models.train_test_split(session_features(requests(spark, folder)))
+    name = folder.rstrip("/").rpartition("/")[2]
+    path = f"{shared_dir(spark)}/trafficlens/{spark.sparkContext.applicationId}/catalog-models-{name}"
+    if not scoring.saved_at(spark, path):
+        scoring.fit_detectors(train).save(spark, path)
+    return scoring.Detectors.load(spark, path), test
 
 
-def _fit(spark: SparkSession, folder: str) -> tuple[scoring.Detectors, DataFrame]:
-    """Detectors fitted on the training part and the held-out part, once per session and folder."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _fitted:
-        train, test = models.train_test_split(session_features(requests(spark, folder)))
-        _fitted[key] = (scoring.fit_detectors(train), test)
-    return _fitted[key]
+def _flag(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("int")
+
+
+def _in_range(name: str) -> list[Column]:
+    return [_flag(F.col(name).between(0.0, 1.0)).alias(f"{name}_in_range")]
 
 
 def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -444,28 +452,38 @@ def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def seeded_order(spark: SparkSession, folder: str) -> DataFrame:
-    return models.seeded_order(req.session_summary(requests(spark, folder)).select("session_id", "label"), "session_id")
+    """Place of every session in the seeded order."""
+    sessions = req.session_summary(requests(spark, folder)).select("session_id", "label")
+    return number_rows(sessions, models.seeded_keys("session_id"), "order")
 
 
 def scale_features(spark: SparkSession, folder: str) -> DataFrame:
     matrix = models.feature_matrix(session_features(requests(spark, folder)))
     fitted = models.scaler().fit(matrix)
-    return fitted.transform(matrix).select("session_id", models.vector_to_array("scaled").alias("scaled"))
+    scaled = fitted.transform(matrix).withColumn("v", models.vector_to_array("scaled"))
+    return scaled.select("session_id", *[F.expr(f"round(v[{k}], 4) + 0D as {name}") for k, name in enumerate(FEATURE_NAMES)])
 
 
 def iforest(spark: SparkSession, folder: str) -> DataFrame:
     train, test = models.train_test_split(session_features(requests(spark, folder)))
     scored_test = models.with_forest(test, models.fit_forest(train))
-    return scored_test.select("session_id", "label", "isolation_score", "isolation_prediction")
+    return scored_test.select("session_id", "label", *_in_range("isolation_score"),
+                              _flag(F.col("isolation_prediction") == (F.col("isolation_score") > 0.5).cast("int")).alias("prediction_fits"))
 
 
 def gbt(spark: SparkSession, folder: str) -> DataFrame:
     fitted, test = _fit(spark, folder)
-    return models.with_boosting(test, fitted.boosting).select("session_id", "label", "gb_score", "gb_prediction")
+    return models.with_boosting(test, fitted.boosting).select(
+        "session_id", "label", *_in_range("gb_score"), _flag(F.col("gb_prediction") == (F.col("gb_score") > 0.5).cast("int")).alias("prediction_fits"))
 
 
 def top_features(spark: SparkSession, folder: str) -> DataFrame:
-    return models.top_features(spark, _fit(spark, folder)[0].boosting)
+    """Fifteen features of the vector, none twice, importance not rising."""
+    found = models.top_features(spark, _fit(spark, folder)[0].boosting)
+    order = Window.orderBy(F.desc("importance"), "feature")  # fifteen rows
+    return found.select(F.row_number().over(order).alias("rank"), _flag(F.col("feature").isin(*FEATURE_NAMES)).alias("is_feature"),
+                        _flag(F.count(F.lit(1)).over(Window.partitionBy("feature")) == 1).alias("is_single"),
+                        *_in_range("importance"))
 
 
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -474,14 +492,22 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "models")
     fitted.save(spark, path)
     loaded = scoring.Detectors.load(spark, path)
-    return scoring.score(test, loaded).select("session_id", "isolation_score", "gb_score")
+    before = scoring.score(test, fitted).select("session_id", F.struct("isolation_score", "gb_score", "risk_score").alias("before"))
+    after = scoring.score(test, loaded).select("session_id", F.struct("isolation_score", "gb_score", "risk_score").alias("after"))
+    return before.join(after, "session_id").select("session_id", _flag(F.col("before") == F.col("after")).alias("is_equal"))
 
 
 def ensemble(spark: SparkSession, folder: str) -> DataFrame:
     fitted, test = _fit(spark, folder)
-    return scoring.score(test, fitted).select(
-        "session_id", "traffic_class", "label", "statistical_score", "isolation_score", "gb_score", "llm_score",
-        "llm_confidence", "n_detectors_firing", "risk_score", "explanation")
+    """The risk score against the weighted mean worked out again from the four stored scores."""
+    found = scoring.score(test, fitted)
+    weights = {"statistical_score": 0.25, "isolation_score": 0.25, "gb_score": 0.30, "llm_score": 0.20}
+    mean = reduce(Column.__add__, [F.col(c) * w for c, w in weights.items()])
+    most = F.greatest(*weights)
+    return found.select("session_id", "label", *_in_range("risk_score"),
+                        _flag(F.col("risk_score") >= mean - 1e-6).alias("at_least_mean"),
+                        _flag((most < 0.95) | (F.col("risk_score") >= 0.85)).alias("override_fits"),
+                        _flag(F.length("explanation") > 0).alias("is_explained"))
 
 
 def live_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.config import DEFAULT, Settings
 from trafficlens.functions.columns import attack_type, fold_case
-from trafficlens.operators.sequence import with_history
-from trafficlens.operators.skew import number_rows, split_hot
+from trafficlens.operators.skew import number_rows
 
 # Accepted methods, api path parts, statuses of attack requests, agent when none is sent.
 METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH")
@@ -19,7 +18,7 @@ API_PARTS = ("/api/", "/rest/", "/json/", "/xml/")
 ATTACK_STATUSES = (200, 400, 403, 500, 200, 200)
 DEFAULT_AGENT = "Mozilla/5.0 (CSIC-2010)"
 
-BLOCK_ORDER = ("file", "split_start", "record", "part")
+BLOCK_ORDER = ("file", "block_no")
 SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0"
 
 
@@ -27,28 +26,34 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def line_end(spark: SparkSession, path: str) -> str:
-    """The line end of a file, from its first line."""
-    first = spark.read.text(path, lineSep="\n").limit(1).collect()
-    return "\r\n" if first and first[0][0].endswith("\r") else "\n"
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blank-line separated blocks of Latin-1 text files: file, block_no (from 1 in each file), block.
 
-
-def read_blocks(spark: SparkSession, path: str, eol: str | None = None) -> DataFrame:
-    """Blank-line separated blocks of a Latin-1 text file, with their place in the file.
-
-    Spark cuts records at empty lines, so a large file is read by many tasks; separators that hold
-    blanks are cut afterwards inside a record.
+    Spark splits files into lines, whatever their line ends and wherever a task begins. A block begins at a
+    line with text after a blank line or at the start of the file. Begins are counted inside each split and
+    the counts of the splits before are added, so numbers do not depend on how the file was split, and no
+    task sees a whole file.
     """
-    eol = eol or line_end(spark, path)
-    raw = (spark.read.text(path, lineSep=eol * 2)
-           .select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"),
-                   F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("split_start"))
-           .withColumn("record", F.monotonically_increasing_id()))
-    plain = raw.withColumn("value", F.regexp_replace("value", "\r\n?", "\n"))
-    parts = plain.select("file", "split_start", "record",
-                         F.posexplode(F.split("value", r"\n\s*\n")).alias("part", "block"))
-    return parts.withColumn("block", strip(F.col("block"))).filter("block <> ''")
+    lines = (spark.read.text(path)
+             .select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"), F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("split_start"))
+             .withColumn("pos", F.monotonically_increasing_id())
+             .withColumn("text", (strip(F.col("line")) != "").cast("int")))
+    in_split = Window.partitionBy("file", "split_start").orderBy("pos")
+    # the first line of a split begins a block here only if it is the file's; corrected below
+    begins = (F.col("text") == 1) & (F.coalesce(F.lag("text").over(in_split), F.lit(1)) == 0)
+    marked = lines.withColumn("begin", begins.cast("int")).withColumn("seen", F.sum("begin").over(in_split))
+    splits = marked.groupBy("file", "split_start").agg(
+        F.sum("begin").alias("n"), F.min_by("text", "pos").alias("first"), F.max_by("text", "pos").alias("last"))
+    by_split = Window.partitionBy("file").orderBy("split_start")
+    entered = F.when((F.col("first") == 1) & (F.coalesce(F.lag("last").over(by_split), F.lit(0)) == 0), 1).otherwise(0)
+    splits = splits.withColumn("entered", entered)
+    before = F.coalesce(F.sum(F.col("n") + F.col("entered")).over(by_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "split_start", (before + F.col("entered")).alias("offset"))
+    numbered = (marked.filter("text = 1").join(offsets, ["file", "split_start"])
+                .select("file", (F.col("offset") + F.col("seen")).alias("block_no"), F.struct("split_start", "pos", "line").alias("l")))
+    whole = numbered.groupBy("file", "block_no").agg(F.sort_array(F.collect_list("l")).alias("l"))
+    return whole.select("file", "block_no", strip(F.array_join("l.line", "\n")).alias("block"))
 
 
 def _is_request(block: Column) -> Column:
@@ -56,23 +61,16 @@ def _is_request(block: Column) -> Column:
     return (F.size(words) >= 2) & F.upper(F.get(words, F.lit(0))).isin(*METHODS)
 
 
-def attach_bodies(blocks: DataFrame, config: Settings = DEFAULT) -> DataFrame:
+def attach_bodies(blocks: DataFrame) -> DataFrame:
     """Append a block that is no request to the request block right before it.
 
-    A blank line before a body makes the body a block of its own; this puts it back. Blocks are
-    looked at from the end of the file, where the next block is the earlier row.
+    A blank line before a body makes the body a block of its own; this puts it back. Only such blocks are
+    moved, to the number before theirs.
     """
-    order = ["_split", "_record", "_part"]
-    backwards = blocks.selectExpr("*", "-split_start as _split", "-record as _record", "-part as _part")
-
-    def build(part: DataFrame) -> DataFrame:
-        seen = with_history(part, {"block": 1}, keys=["file"], order=order)
-        follows = F.col("prev1_block")
-        joined = F.when(follows.isNotNull() & ~_is_request(follows),
-                        F.concat("block", F.lit("\n\n"), follows)).otherwise(F.col("block"))
-        return seen.withColumn("block", joined).select(*blocks.columns)
-
-    return split_hot(backwards, ["file"], order, config.scale).union_of(build)
+    bodies = (blocks.filter(~_is_request(F.col("block")))
+              .select("file", (F.col("block_no") - 1).alias("block_no"), F.col("block").alias("_body")))
+    joined = F.when(F.col("_body").isNotNull(), F.concat("block", F.lit("\n\n"), "_body")).otherwise(F.col("block"))
+    return blocks.join(bodies, ["file", "block_no"], "left").withColumn("block", joined).select(*blocks.columns)
 
 
 def parse_blocks(blocks: DataFrame) -> DataFrame:
@@ -111,20 +109,25 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
                     F.coalesce(F.try_element_at("headers", F.lit("user-agent")), F.lit("")).alias("user_agent")))
 
 
+def _number(*parts: Column, below: int) -> Column:
+    """A repeatable whole number from 8 hex digits of an MD5 of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("bigint") % below
+
+
 def to_requests(parsed: DataFrame, seed: int = 42) -> DataFrame:
     """Adds the request columns that the text does not carry.
 
-    Attack requests get a status from a seeded hash of url and place, others 200.
+    Attack requests get a status from a seeded hash of the request itself, others 200: equal requests get
+    equal statuses, wherever their file lies and however it is split.
     """
-    place = [c for c in BLOCK_ORDER if c in parsed.columns]
-    pick = F.pmod(F.xxhash64("url", *place, F.lit(seed)), F.lit(len(ATTACK_STATUSES))).cast("int")
+    pick = _number(F.col("method"), F.col("url"), F.col("user_agent"), F.col("body"), F.lit(str(seed)), below=len(ATTACK_STATUSES)).cast("int")
     statuses = F.array(*[F.lit(s) for s in ATTACK_STATUSES])
     api = reduce(Column.__or__, [F.col("url").contains(p) for p in API_PARTS])
     return parsed.select(
         "*", F.when(F.col("label") == 1, F.get(statuses, pick)).otherwise(200).alias("status_code"),
         F.lit(80.0).alias("response_time_ms"),
         (F.length("body") + 200).cast("bigint").alias("request_size_bytes"),
-        (F.pmod(F.xxhash64("url"), F.lit(50000)) + 5000).cast("bigint").alias("response_size_bytes"),
+        (_number(F.col("url"), below=50000) + 5000).alias("response_size_bytes"),
         api.alias("is_api"), F.lit(None).cast("string").alias("referrer"))
 
 
@@ -139,7 +142,7 @@ def load_labelled(spark: SparkSession, folder: str, config: Settings = DEFAULT)
     files = ((h.normal_train_file, 0), (h.normal_test_file, 0), (h.anomalous_file, 1))
     blocks = reduce(DataFrame.unionByName, [load_file(spark, f"{folder}/{name}", label) for name, label in files])
     if h.attach_body:
-        blocks = attach_bodies(blocks, config)
+        blocks = attach_bodies(blocks)
     return to_requests(parse_blocks(blocks), h.seed)
 
 
@@ -218,7 +221,8 @@ def load_sessions(spark: SparkSession, folder: str, config: Settings = DEFAULT,
     loaded = load_labelled(spark, folder, config)
     order = [F.col(c) for c in BLOCK_ORDER]
     if shuffle:
-        order = [F.xxhash64(*BLOCK_ORDER, F.lit(h.seed)), *order]
+        # by content: the folder of the files plays no part
+        order = [F.md5(F.concat_ws("|", "block_no", "method", "url", "user_agent", "body", F.lit(str(h.seed))).cast("binary")), *order]
     sides = []
     for label, cap, gap, std, prefix, seed in ((0, max_normal, 2000.0, 800.0, "10.1", h.seed),
                                                (1, max_anomalous, 500.0, 100.0, "10.2", h.seed + 1)):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trafficlens.config import DEFAULT, Settings
 from trafficlens.functions import columns as fn
-from trafficlens.operators.sequence import with_history
+from trafficlens.operators.sequence import chunk_column, with_history
 from trafficlens.operators.skew import split_hot
 
 REQUEST_SCHEMA = T.StructType([
@@ -148,27 +148,22 @@ def session_summary(requests: DataFrame) -> DataFrame:
                  F.max("label").alias("label")))
 
 
-def nested_sessions(requests: DataFrame, max_requests: int, config: Settings = DEFAULT) -> DataFrame:
-    """Sessions as arrays of requests, for systems that need that form.
+def nested_sessions(requests: DataFrame, part_size: int = 1_000, config: Settings = DEFAULT) -> DataFrame:
+    """Sessions as arrays of requests, for systems that need that form: session_id, part_no, n_requests, requests.
 
-    An array lives in one row, so only sessions of at most `max_requests` requests are nested;
-    longer ones come back with a null array and their count, to be read from the flat log. Hot
-    sessions are set apart before anything is gathered.
+    An array lives in one row, so a session is cut into parts of `part_size` requests in order, from 0 on.
+    Every request is in exactly one part, however long its session.
     """
-    fields = ["timestamp_ms", "request_id", "method", "url", "status_code", "headers",
-              "user_agent", "request_size_bytes", "response_size_bytes", "is_api", "referrer"]
-
-    def by_place(a: Column, b: Column) -> Column:
-        return (F.when(a["timestamp_ms"] < b["timestamp_ms"], -1).when(a["timestamp_ms"] > b["timestamp_ms"], 1)
-                .when(a["request_id"] < b["request_id"], -1).otherwise(1))
-
-    split = split_hot(requests, ["session_id"], ["timestamp_ms", "request_id"], config.scale)
-    # short and long sessions are told apart in place: the count comes from the same partitioning
-    counted = split.cold.withColumn("n_requests", F.count(F.lit(1)).over(Window.partitionBy("session_id")))
-    kept = F.when(F.col("n_requests") <= max_requests, F.struct(*fields))
-    nested = (counted.groupBy("session_id", "n_requests").agg(F.collect_list(kept).alias("requests"))
-              .withColumn("requests", F.when(F.size("requests") > 0, F.array_sort("requests", by_place))))
-    if split.hot is None:
-        return nested
-    long = split.hot.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_requests"))
-    return nested.unionByName(long, allowMissingColumns=True)
+    order = ["timestamp_ms", "request_id"]
+    fields = [*order, "method", "url", "status_code", "headers", "user_agent", "request_size_bytes", "response_size_bytes",
+              "is_api", "referrer"]
+
+    def build(part: DataFrame) -> DataFrame:
+        placed = with_history(part.select("session_id", *fields, *chunk_column(part)), order=order)
+        return placed.select("session_id", F.floor((F.col("rn") - 1) / part_size).alias("part_no"),
+                             F.struct("rn", *fields).alias("_request"))
+
+    rows = split_hot(requests, ["session_id"], order, config.scale).union_of(build)
+    # headers are a map, which has no order: the position decides
+    parts = rows.groupBy("session_id", "part_no").agg(F.count(F.lit(1)).alias("n_requests"), F.collect_list("_request").alias("requests"))
+    return parts.withColumn("requests", F.array_sort("requests", lambda a, b: (a["rn"] - b["rn"]).cast("int")))

@@ -40,12 +40,41 @@ def rates(timed: DataFrame, key: str, length: str = "1 minute", slide: str | Non
                     (F.col("n_requests") > limit).alias("over_limit")))
 
 
+def with_open_sessions(closed: DataFrame, requests: DataFrame, key: str, config: Settings = DEFAULT) -> DataFrame:
+    """Closed sessions of a stream that has ended, and those still open then, from the rows after each key's last closed one."""
+    last = closed.groupBy(key).agg(F.max("end_ms").alias("_last"))
+    rest = (requests.join(last, key, "left").filter(F.col("_last").isNull() | (F.floor("timestamp_ms") > F.col("_last")))
+            .withColumn("ts", fn.event_time(F.col("timestamp_ms"))))
+    return closed.unionByName(closed_sessions(rest, key, config))
+
+
+def with_open_windows(done: DataFrame, requests: DataFrame, key: str, length: str = "1 minute", slide: str | None = None,
+                      limit: int = DEFAULT.mitigation.throttle_rpm) -> DataFrame:
+    """Windows of a stream that has ended, and those that its watermark had not passed: all that begin after the last one given out."""
+    last = done.groupBy().agg(F.coalesce(F.max("window_start_ms"), F.lit(-2**62)).alias("m"))
+    later = requests.filter(F.col("timestamp_ms") > last.scalar()).withColumn("ts", fn.event_time(F.col("timestamp_ms")))
+    rest = rates(later, key, length, slide, limit).filter(F.col("window_start_ms") > last.scalar())
+    return done.unionByName(rest)
+
+
+HOUR_MS = 3_600_000
+
+
 def requests_of(closed: DataFrame, log: DataFrame, key: str) -> DataFrame:
-    """Rows of the stored log that belong to closed sessions, with a session id of key and start."""
-    bounds = closed.select(key, F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
+    """Rows of the stored log that belong to closed sessions, with a session id of key and start.
+
+    A session meets only the log rows of its own hours, and the log is read only between the first and the last
+    of the sessions.
+    """
+    span = closed.agg(F.min("start_ms"), F.max("end_ms")).first()
+    if span[0] is None:
+        span = (0, -1)
+    near = log.filter((F.col("timestamp_ms") >= float(span[0])) & (F.col("timestamp_ms") < float(span[1] + 1)))
+    hours = F.sequence(F.floor(F.col("start_ms") / HOUR_MS), F.floor(F.col("end_ms") / HOUR_MS))
+    bounds = closed.select(key, F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"), F.explode(hours).alias("_hour"))
     inside = (F.floor("timestamp_ms") >= F.col("_from")) & (F.floor("timestamp_ms") <= F.col("_to"))
-    return (log.join(bounds, key).filter(inside)
-            .withColumn("session_id", F.concat_ws("@", F.col(key), F.col("_from"))).drop("_from", "_to"))
+    return (near.withColumn("_hour", F.floor(F.col("timestamp_ms") / HOUR_MS)).join(bounds, [key, "_hour"]).filter(inside)
+            .withColumn("session_id", F.concat_ws("@", F.col(key), F.col("_from"))).drop("_from", "_to", "_hour"))
 
 
 def score_closed(log_path: str, out_path: str, key: str = "ip", detectors: Detectors | None = None,
@@ -56,8 +85,10 @@ def score_closed(log_path: str, out_path: str, key: str = "ip", detectors: Detec
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         log = batch.sparkSession.read.parquet(log_path)
-        decided = decide_requests(requests_of(batch, log, key), detectors, config)
+        closed = batch.persist()  # read for its span and for the join
+        decided = decide_requests(requests_of(closed, log, key), detectors, config)
         decided.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        closed.unpersist()
     return write
 
 
@@ -85,4 +116,13 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     table = f"{folder}/events.parquet"
     schema = spark.read.parquet(table).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return _timed_users(events)
+
+
+def event_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows as a table."""
+    return _timed_users(spark.read.parquet(f"{folder}/events.parquet"))
+
+
+def _timed_users(events: DataFrame) -> DataFrame:
     return events.select("user_id", (fn.epoch_micros(F.col("ts")) / 1000.0).alias("timestamp_ms"))
