@@ -25,6 +25,7 @@ def digest(text: Column | str) -> Column:
 
 def frequent(digests: DataFrame, tracked: int = TRACKED, top: int = TOP) -> DataFrame:
     """At most `top` digests that may be frequent; every digest above about 7 / tracked of the rows is among them."""
+    top = min(top, tracked)
     local = (digests.groupBy((F.spark_partition_id() % MERGERS).alias("_m"))
              .agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("_s")))
     # a grouping key, though constant: without one, empty partitions send sketches that cannot be merged
@@ -66,13 +67,14 @@ def exact_duplicates(docs: DataFrame, tracked: int = TRACKED, top: int = TOP) ->
 
 def keep_one(docs: DataFrame, tracked: int = TRACKED, top: int = TOP) -> DataFrame:
     """The rows that stay, with all their columns. Copies of frequent texts are dropped before the shuffle."""
-    marked = docs.withColumn("_digest", digest("text"))
-    small = materialize(marked.select("doc_id", F.col("_digest").alias("digest")), "digests")
+    # whole rows travel as one column, so that no name of theirs clashes
+    marked = docs.select(F.struct("*").alias("_row"), "doc_id", digest("text").alias("_digest"))
+    small = materialize(docs.select("doc_id", digest("text").alias("digest")), "digests")
     found = F.broadcast(materialize(winners(small, tracked, top), "winners")
                         .select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_heavy")))
     left = marked.join(found, "_digest", "left").filter(F.col("_heavy").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
     newest = Window.partitionBy("_digest").orderBy(F.desc_nulls_last("doc_id"))
-    return left.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").select(*docs.columns)
+    return left.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").select("_row.*")
 
 
 EXACT_SQL = """

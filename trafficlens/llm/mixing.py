@@ -130,14 +130,14 @@ def mixed(docs: DataFrame, limit: int = LIMIT, **options) -> DataFrame:
     """The training order itself: whole documents with all their columns, each as often as the mix
     takes it, range-sorted by the moment each copy is due. A copy of which less than half is taken is left out."""
     sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    clash = {c: f"_in_{c}" for c in docs.columns if c in ("size", "source_size", "target", "tilt")}
-    rows = docs.withColumnsRenamed(clash).withColumn("size", word_count("text"))
+    # whole rows travel as one column, so that no name of theirs clashes
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", word_count("text").alias("size"))
     found = placed(rows, sizes, limit, **options)
     copies = found.withColumn("_copy", F.explode(F.array(*[F.lit(k) for k in range(limit)])))
     chosen = copies.filter((_taken(F.col("_copy")) * 2 >= F.col("size")) & ((F.col("size") > 0) | (F.col("_copy") == 0)))
     moment = due(F.col("_copy") * F.col("source_size") + F.col("_start"), F.col("target"), F.col("tilt"))
     return (chosen.withColumn("_moment", moment).orderBy(F.asc_nulls_first("_moment"), "doc_id")
-            .select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns]))
+            .select("_row.*"))
 
 
 MIX_SQL = f"""

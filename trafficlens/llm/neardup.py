@@ -140,6 +140,7 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) ->
     firsts = prints.groupBy("fingerprint").agg(F.min(mine).alias("_first"))
     kept = (classes.join(firsts, "fingerprint").groupBy("root").agg(F.min("_first").alias("_k"))
             .select(F.col("_k.i").alias("_id"), F.col("_k.t").alias("_text")))
-    rows = docs.select("*", *row_key(F.col("doc_id"), whole("text"))).join(kept, ["_id", "_text"], "left_semi")
+    # whole rows travel as one column, so that no name of theirs clashes
+    rows = docs.select(F.struct("*").alias("_row"), *row_key(F.col("doc_id"), whole("text"))).join(kept, ["_id", "_text"], "left_semi")
     same = Window.partitionBy("_id", "_text").orderBy("_id")
-    return rows.withColumn("_r", F.row_number().over(same)).filter("_r = 1").select(*docs.columns)
+    return rows.withColumn("_r", F.row_number().over(same)).filter("_r = 1").select("_row.*")

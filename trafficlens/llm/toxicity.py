@@ -178,19 +178,19 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*[pa.array([c], pa.binary()) for c in contents], pa.array([frame], pa.int32())], ["ordinary", "toxic", "frame"])
 
 
-def _evidence(ordinary: bytes, toxic: bytes, frame: int):
+def _evidence(ordinary: bytes, toxic: bytes, frame: int, kept: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(ordinary, toxic, frame)
         for batch in batches:
             found = [windows.evidence(t.as_py() or "") for t in batch.column(batch.schema.get_field_index("text"))]
-            yield batch.append_column("_evidence", pa.array(found, pa.float64()))
+            yield batch.select(kept).append_column(name, pa.array(found, pa.float64()))
     return run
 
 
-def measured(docs: DataFrame, contents: tuple[bytes, bytes, int]) -> DataFrame:
-    """The rows with their evidence, stored: texts are not shuffled."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_evidence", T.DoubleType())])
-    return materialize(docs.mapInArrow(_evidence(*contents), schema), "evidence")
+def measured(docs: DataFrame, contents: tuple[bytes, bytes, int], kept: list[str], name: str) -> DataFrame:
+    """Some columns of the rows and, under the given name, their evidence; stored. Texts are not shuffled."""
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(name, T.DoubleType())])
+    return materialize(docs.mapInArrow(_evidence(*contents, kept, name), schema), "evidence")
 
 
 def labelled(labels: DataFrame, column: str) -> DataFrame:
@@ -225,8 +225,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     without words have no evidence, and the score of that. Rows that repeat an id are scored on their own.
     Without labels every score is 0.5. Other columns are ignored.
     """
-    rows = measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text")), fit(docs, labels))
-    scored = with_probability(rows.select("doc_id", "_evidence"), "_evidence", _points(rows, labels), "score")
+    rows = measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text")), fit(docs, labels), ["doc_id"], "_evidence")
+    scored = with_probability(rows, "_evidence", _points(rows, labels), "score")
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= CUT).cast("int").alias("predicted"), F.col("_evidence").alias("evidence"))
 
@@ -242,8 +242,11 @@ def _points(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns. Texts are written once beside their evidence, never shuffled."""
-    rows = measured(docs, fit(docs, labels))
-    x, y = _points(rows, labels)
+    name = "_evidence"
+    while name in docs.columns:
+        name = "_" + name
+    rows = measured(docs, fit(docs, labels), docs.columns, name)
+    x, y = _points(rows.select("doc_id", F.col(name).alias("_evidence")), labels)
     # the probability never falls, so the cut on it is a cut on the evidence
     toxic = [float(v) for v in np.arange(0, 100 * STEPS + 1) / STEPS if np.interp(v, x, y) >= CUT]
-    return rows.filter(F.col("_evidence") < toxic[0] if toxic else F.lit(True)).select(*docs.columns)
+    return rows.filter(F.col(name) < toxic[0] if toxic else F.lit(True)).select(*docs.columns)
