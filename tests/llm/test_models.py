@@ -56,7 +56,7 @@ def test_language_of_held_out_documents(tables):
 
 def test_ranking_of_grams():
     table = language.letters()
-    code = lambda s: sum(ord(c) * (c != " ") << 21 * (len(s) - 1 - k) for k, c in enumerate(s))
+    code = lambda s: sum((1 if c == " " else ord(c)) << 21 * (len(s) - 1 - k) for k, c in enumerate(s))
     found = language.ranked("Ab ab, A", table).tolist()
     counts = {"a": 3, "b": 2, " a": 3, "ab": 2, "b ": 2, "a ": 1, " ab": 2, "ab ": 2, " a ": 1}
     assert found == [c for _, c in sorted((-n, code(g)) for g, n in counts.items())]

@@ -26,11 +26,13 @@ TOP = 300
 # bound of the sample that a profile is made from; longer texts are not taken
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 50_000
 UNDETERMINED = "und"
+# stands for everything between words; not 0, so that a blank before a letter counts in the code of an n-gram
+BLANK = 1
 
 
 def letters() -> np.ndarray:
-    """For every code point its lower-case letter, or 0: not a letter."""
-    table = np.zeros(0x110000, np.int64)
+    """For every code point its lower-case letter, or BLANK: not a letter."""
+    table = np.full(0x110000, BLANK, np.int64)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
@@ -42,16 +44,16 @@ def letters() -> np.ndarray:
 def ranked(text: str, table: np.ndarray, top: int = TOP) -> np.ndarray:
     """Codes of the most frequent n-grams, the most frequent first; of equally frequent ones the smaller code."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.concatenate([[0], table[points], [0]])
+    codes = np.concatenate([[BLANK], table[points], [BLANK]])
     # blanks in a row are one blank
-    codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
+    codes = codes[np.concatenate([[True], (codes[1:] != BLANK) | (codes[:-1] != BLANK)])]
     if len(codes) < 3:
         return np.empty(0, np.int64)
     pairs = (codes[:-1] << 21) | codes[1:]
     threes = (pairs[:-1] << 21) | codes[2:]
     # an n-gram holds blanks at its ends only, and not alone
-    inner = threes[codes[1:-1] != 0]
-    found, counts = np.unique(np.concatenate([codes[codes != 0], pairs, inner]), return_counts=True)
+    inner = threes[codes[1:-1] != BLANK]
+    found, counts = np.unique(np.concatenate([codes[codes != BLANK], pairs, inner]), return_counts=True)
     return found[np.lexsort((found, -counts))[:top]]
 
 

@@ -241,12 +241,12 @@ def _points(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns. Texts are written once beside their evidence, never shuffled."""
+    """The documents that are not predicted toxic, with all their columns; one without any evidence always stays. Texts are written once beside their evidence, never shuffled."""
     name = "_evidence"
     while name in docs.columns:
         name = "_" + name
     rows = measured(docs, fit(docs, labels), docs.columns, name)
     x, y = _points(rows.select("doc_id", F.col(name).alias("_evidence")), labels)
     # the probability never falls, so the cut on it is a cut on the evidence
-    toxic = [float(v) for v in np.arange(0, 100 * STEPS + 1) / STEPS if np.interp(v, x, y) >= CUT]
+    toxic = [float(v) for v in np.arange(1, 100 * STEPS + 1) / STEPS if np.interp(v, x, y) >= CUT]
     return rows.filter(F.col(name) < toxic[0] if toxic else F.lit(True)).select(*docs.columns)
