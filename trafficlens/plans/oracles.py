@@ -508,6 +508,21 @@ held as (select *, row_number() over (order by md5(session_id || ':42'), session
             m as (select session_id, max(len) as longest from l group by session_id)
             select session_id, coalesce(longest, 0)::bigint as longest, (coalesce(longest, 0) >= 5)::int as too_many
             from (select distinct session_id from r) left join m using (session_id)""",
+        "http_sessions": f"""{base} select label, count(*) as n_requests, ceil(count(*) / 20)::bigint as n_sessions, count(*) as last_row
+            from r group by label""",
+        "stream_scores": f"""{base}, far as (select ip, request_id, 1.7e12::double + (timestamp_ms - 1.7e12::double) * 100 as timestamp_ms from r),
+            t as (select ip, timestamp_ms, request_id,
+              timestamp_ms - lag(timestamp_ms) over (partition by ip order by timestamp_ms, request_id) as gap from far),
+            v as (select *, sum(case when gap is null or gap >= 300000 then 1 else 0 end)
+                over (partition by ip order by timestamp_ms, request_id rows unbounded preceding) as no from t),
+            w as (select ip, no, min(timestamp_ms) as start_ms, max(timestamp_ms) as end_ms from v group by ip, no)
+            select ip || '@' || start_ms::bigint as session_id, 1 as is_decided, 1 as risk_score_in_range from w
+            where end_ms + 300000 <= (select max(timestamp_ms) - 600000 from far)""",
+        "load_or_fit": f"""{held} select 'fitted' as call, count(*) - floor(count(*) * 0.6)::bigint as n_sessions from s
+            union all select 'loaded', count(*) from s""",
+        "train_report": f"""{held} select sum(label)::bigint as n_attack, sum(1 - label)::bigint as n_human, 1 as is_good,
+            1 as auprc_in_range from held where place <= n_test""",
+        "best_features_fit": "select 30 as n_features, 1 as are_features, 1 as refuses_few",
         # models
         "train_test_split": f"""{held} select session_id, label, case when place <= n_test then 'test' else 'train' end as part from held""",
         "seeded_order": f"""{held} select session_id, label, place as row_no from held""",

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trafficlens.config import DEFAULT
 from trafficlens.functions import columns as fn
 from trafficlens.operators import detectors as det
 from trafficlens.operators import evaluation as ev
@@ -510,6 +512,64 @@ def ensemble(spark: SparkSession, folder: str) -> DataFrame:
                         _flag(F.length("explanation") > 0).alias("is_explained"))
 
 
+# fits in jobs that are checked as a whole: few trees, the rest as configured
+QUICK = replace(DEFAULT, models=replace(DEFAULT.models, boost_trees=3))
+
+
+def http_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled text files to pseudo-sessions, end to end."""
+    rows = http_text.load_sessions(spark, _text_folder(spark, folder))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_requests"), F.countDistinct("session_id").alias("n_sessions"),
+                                     F.max("row_no").alias("last_row"))
+
+
+def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of addresses that close on a stream, scored and decided from the stored log.
+
+    The view's requests lie within minutes; a hundred times further apart, they fall into sessions.
+    """
+    log, out = new_path(spark, "log"), new_path(spark, "decisions")
+    apart = F.lit(1.7e12) + (F.col("timestamp_ms") - 1.7e12) * 100
+    requests(spark, folder).withColumn("timestamp_ms", apart).write.parquet(log)
+    stored = spark.read.parquet(log)
+    timed = windows.with_event_time(spark.readStream.schema(stored.schema).parquet(log))
+    windows.run_batches(windows.closed_sessions(timed, "ip"), windows.score_closed(log, out), "score")
+    decided = spark.read.option("mergeSchema", "true").parquet(out)
+    return decided.select("session_id", _flag(F.col("action").isin("allow", "monitor", "throttle", "challenge", "block")).alias("is_decided"),
+                          *_in_range("risk_score"))
+
+
+def load_or_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """First call fits on the first 60 % and gives the rest; the second loads and gives all."""
+    features, path = session_features(requests(spark, folder)), new_path(spark, "load-or-fit")
+    fitted, rest = scoring.load_or_fit(features, path, QUICK)
+    fitted.save(spark, path)
+    _, whole = scoring.load_or_fit(features, path, QUICK)
+    return (rest.select("session_id", F.lit("fitted").alias("call"))
+            .unionByName(whole.select("session_id", F.lit("loaded").alias("call"))).groupBy("call").agg(F.count(F.lit(1)).alias("n_sessions")))
+
+
+def train_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Split, fit, save, score, report: the counts of the report add up to the held-out sessions."""
+    report = scoring.train_and_evaluate(requests(spark, folder), new_path(spark, "report"), QUICK)
+    return report.select((F.col("tp") + F.col("fn")).alias("n_attack"), (F.col("fp") + F.col("tn")).alias("n_human"),
+                         _flag((F.col("recall") >= 0.8) & (F.col("auroc") >= 0.9)).alias("is_good"), *_in_range("auprc"))
+
+
+def best_features_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosting on the 30 most important features, and the refusal to train on too few sessions."""
+    train, _ = models.train_test_split(session_features(requests(spark, folder)))
+    fitted = models.fit_boosting_on_best(train, QUICK)
+    try:
+        models.fit_boosting(train, replace(QUICK, models=replace(QUICK.models, min_training_sessions=1_000_000)))
+        refused = 0
+    except ValueError:
+        refused = 1
+    names = fitted.stages[1].getNames()
+    return spark.range(1).select(F.lit(len(set(names))).alias("n_features"), F.lit(int(set(names) <= set(FEATURE_NAMES))).alias("are_features"),
+                                 F.lit(refused).alias("refuses_few"))
+
+
 def live_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Block registry over the stream of stored decisions: the latest row of every address."""
     store = new_path(spark, "decision-stream")
@@ -537,7 +597,8 @@ CHECKED = {name: _family(name) for name in FAMILIES} | {
         block_intervals, known_ja3, unknown_ja3, scores_by_class, confusion_metrics, metric_flags, per_class_metrics,
         roc_curve, pr_curve, auroc, auprc, threshold_grid, optimal_threshold, sessionize_gap, rpm_tumbling,
         rpm_sliding, iat_histogram, url_entropy_last50, missing_headers, rpm_zscore, consecutive_404s, timing_flag,
-        regular_runs, peak_rpm, stream_sessions, stream_rates, live_blocks)} | {
+        regular_runs, peak_rpm, stream_sessions, stream_rates, live_blocks, http_sessions, stream_scores, load_or_fit,
+        train_report, best_features_fit)} | {
     "session_features": all_features,
     "stat_score": _rules("session_id", "statistical_score"),
     "stat_reason": _rules("session_id", "statistical_reason"),
