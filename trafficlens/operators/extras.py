@@ -10,7 +10,7 @@ from trafficlens.functions import columns as fn
 from trafficlens.operators.features import family_features, value_entropy
 from trafficlens.operators.sequence import (KEYS, ORDER, chunk_column, gaps_of, split_sessions,
                                             with_history, with_running_sum, with_totals)
-from trafficlens.operators.skew import split_hot
+from trafficlens.operators.skew import materialize, split_hot
 
 
 def iat_histogram(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
@@ -49,6 +49,7 @@ def rpm_zscore(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     rates = requests.groupBy("session_id").agg(
         (F.count(F.lit(1)) / F.greatest((F.max("timestamp_ms") - F.min("timestamp_ms")) / 1000.0,
                                         F.lit(0.001)) * 60.0).alias("rpm"))
+    rates = materialize(rates, "rates")  # read twice: for the mean and for the rows
     whole = rates.groupBy().agg(F.struct(F.avg("rpm").alias("mean"), F.stddev_samp("rpm").alias("std"))).scalar()
     z = (F.col("rpm") - whole["mean"]) / F.greatest(whole["std"], F.lit(1e-9))
     return rates.withColumn("zscore", F.coalesce(z, F.lit(0.0))).withColumn(
