@@ -201,19 +201,28 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, int]:
     """Dictionaries and frame from at most SAMPLE_ROWS rows of each class, taken in the order of the MD5 of the id.
     A third of the labelled rows outside the held-out ones is left for calibration."""
-    order = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    known = labelled(labels, "toxic").filter((fold("doc_id", FOLDS) != HELD_OUT) & ~_calibrates())
+    known = (labelled(labels, "toxic").filter((fold("doc_id", FOLDS) != HELD_OUT) & ~_calibrates())
+             .select("doc_id", (F.col("label") > 0).cast("int").alias("label"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("_md5")))
+    sizes = {r[0]: r[1] for r in known.groupBy("label").agg(F.count(F.lit(1))).collect()}
+    order = Window.partitionBy("label").orderBy("_md5", "doc_id")
+    # the first eight digits leave about four times the rows wanted, so that only those meet in the window
+    share = F.when(F.col("label") == 1, _share(1, sizes)).otherwise(_share(0, sizes))
     bound = F.when(F.col("label") == 1, SAMPLE_ROWS[1]).otherwise(SAMPLE_ROWS[0])
-    sample = (known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max(SAMPLE_ROWS.values()))
+    sample = (known.filter(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("bigint") <= share)
+              .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max(SAMPLE_ROWS.values()))
               .filter(F.col("_r") <= bound).select("doc_id", "label"))
     # at most the sum of SAMPLE_ROWS
     texts = (docs.select("doc_id", whole("text").alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
-             .join(F.broadcast(sample), "doc_id").select((F.col("label") > 0).cast("int").alias("label"), "text"))
+             .join(F.broadcast(sample), "doc_id").select("label", "text"))
     # the sample may hold ids that repeat in the documents; their rows are few
     found = texts.repartition(1).mapInArrow(_trained, "ordinary binary, toxic binary, frame int").first()
     return (b"", b"", 0) if found is None else (bytes(found[0]), bytes(found[1]), found[2])
 
 
+def _share(label: int, sizes: dict[int, int]) -> int:
+    return int(min(1.0, 4 * SAMPLE_ROWS[label] / max(sizes.get(label, 0), 1)) * (2**32 - 1))
+
+
 def _calibrates():
     return F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / FOLDS) % 3 == 0
 
