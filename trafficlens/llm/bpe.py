@@ -33,8 +33,8 @@ RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 # words longer than this are walked on their own instead of filling the trie
 LONGEST_SHARED = 200
-MAX_NODES = 400_000
-CHARS_AT_ONCE = 1_000_000
+MAX_NODES = 200_000
+CHARS_AT_ONCE = 400_000
 
 
 def byte_letters() -> str:

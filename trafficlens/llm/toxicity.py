@@ -49,7 +49,7 @@ STEPS = 32
 # pairs of pieces that are tried around the words, and texts of each class that they are tried on
 FRAMES, TRIED_ON = 6, 200
 # distinct words that a task remembers
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 def _contrast(of: Counter, rows: int, other: Counter, other_rows: int) -> bytes:
