@@ -136,10 +136,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """The document with the smallest id of every component, with all its columns (null ids come last)."""
     prints, classes = grouped(docs, threshold, words)
-    mine = F.struct(F.col("doc_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_text").alias("t"))
-    firsts = prints.groupBy("fingerprint").agg(F.min(mine).alias("_first"))
-    kept = (classes.join(firsts, "fingerprint").groupBy("root").agg(F.min("_first").alias("_k"))
-            .select(F.col("_k.i").alias("_id"), F.col("_k.t").alias("_text")))
+    firsts = prints.groupBy("fingerprint").agg(F.min(mine()).alias("_first"))
+    return rows_of_firsts(docs, classes.join(firsts, "fingerprint").groupBy("root").agg(F.min("_first").alias("_k")))
+
+
+def mine() -> Column:
+    """A row in the order in which rows of a component are kept: null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_text").alias("t"))
+
+
+def rows_of_firsts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows that the structs _k name, with all their columns, one for rows that repeat."""
+    kept = firsts.select(F.col("_k.i").alias("_id"), F.col("_k.t").alias("_text"))
     # whole rows travel as one column, so that no name of theirs clashes
     rows = docs.select(F.struct("*").alias("_row"), *row_key(F.col("doc_id"), whole("text"))).join(kept, ["_id", "_text"], "left_semi")
     same = Window.partitionBy("_id", "_text").orderBy("_id")
