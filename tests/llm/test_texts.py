@@ -150,6 +150,13 @@ def test_archives_round_trip(spark, least):
     assert headers.filter("record_type = 'revisit'").join(headers.select(F.col("record_id").alias("refers_to_id")), "refers_to_id", "left_anti").count() == 0
 
 
+@pytest.mark.parametrize("html", ["ends\r\n", "\r\n", "ends\r\n\r\n", "ends\r\n\r\n\r\n", "ends\r\n\r", "ends\n"])
+def test_last_record_ends_in_line_breaks(spark, html):
+    pages = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
+    digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    assert [tuple(r)[:4] for r in warc.archive_pages(pages).collect()] == [(1, len(html), digest, "response")]
+
+
 def test_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
