@@ -560,8 +560,9 @@ def best_features_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Boosting on the 30 most important features, and the refusal to train on too few sessions."""
     train, _ = models.train_test_split(session_features(requests(spark, folder)))
     fitted = models.fit_boosting_on_best(train, QUICK)
+    too_few = replace(QUICK.models, min_training_sessions=train.count() + 1)
     try:
-        models.fit_boosting(train, replace(QUICK, models=replace(QUICK.models, min_training_sessions=1_000_000)))
+        models.fit_boosting(train, replace(QUICK, models=too_few))
         refused = 0
     except ValueError:
         refused = 1
