@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import bpe, exact, language, lm, mixing, neardup, quality, simhash, toxicity, warc
+from trafficlens.llm import bpe, exact, language, lm, middle, mixing, neardup, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_pages(_table(spark, folder, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return middle.middle_digests(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_quality": op2_quality,
@@ -65,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES = {
     "op4_mix_sources": mixing.MIX_SQL,
     "op7_exact_dedup": exact.EXACT_SQL,
     "op10_warc": warc.WARC_SQL,
+    "op11_fill_in_middle": middle.MIDDLE_SQL,
 }
