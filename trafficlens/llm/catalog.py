@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import bpe, exact, language, lm, middle, mixing, neardup, quality, simhash, toxicity, warc, whitening
+from trafficlens.llm import bpe, exact, forest, language, lm, middle, mixing, neardup, quality, simhash, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return middle.middle_digests(_table(spark, folder, "documents"))
 
 
+def op12_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_components(_table(spark, folder, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_minhash_forest": op12_minhash_forest,
     "op13_whitening": op13_whitening,
 }
 
