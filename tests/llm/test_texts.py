@@ -101,7 +101,7 @@ def test_tokens_equal_the_library(small):
     library.no_truncation()
     texts = samples() + [r["text"] or "" for r in small.collect()]
     with open(WORDS, "rb") as file:
-        encoder = bpe.Encoder(file.read(), max_nodes=3000)
+        encoder = bpe.Encoder(file.read(), remembered=500)
     for start in range(0, len(texts), 97):
         part = texts[start:start + 97]
         for text, ids, want in zip(part, encoder.encode(part), library.encode_batch(part, add_special_tokens=False)):

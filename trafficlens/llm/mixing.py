@@ -6,8 +6,9 @@ over the training; its integral is the demand of the source up to a moment, and
 the moment at which a document, by the words of its source before it, is due. Documents are then
 range-sorted by that moment.
 
-The order inside a source is the MD5 of the id, so ranges of it cut a source of any size into even
-pieces: sums per piece give each piece its offset, and no task holds a whole source.
+The order inside a source is the MD5 of the id and the text, so ranges of it cut a source of any size into even
+pieces, null and repeated ids included: sums per piece give each piece its offset, and no task holds a whole source.
+All of that runs on narrow rows; whole rows move twice, to their moments and into the training order.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.llm.text import WORD, whole
+from trafficlens.llm.text import WORD, row_key, whole
 from trafficlens.operators.skew import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -26,7 +27,7 @@ WEIGHTS = (5, 2, 1)
 TILTS = (-0.5, 0.0, 0.5)
 LIMIT = 3
 # rows in one ordered piece of a source, on average
-PIECE_ROWS = 4_000
+PIECE_ROWS = 1_000
 
 
 def word_count(text: Column | str) -> Column:
@@ -73,21 +74,22 @@ def due(words_before: Column, target: Column, tilt: Column) -> Column:
     return F.when(target > 0, F.when(tilt == 0, share).otherwise(bent))
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    return df.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size and the place in the order of the source, stored; and further columns."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(whole("text").cast("binary")))
+    return materialize(docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(name.cast("binary")).alias("_order"), *more), "sizes")
 
 
 def _piece(pieces: int) -> Column:
     return F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint") * pieces / (1 << 32)).cast("bigint")
 
 
-def placed(rows: DataFrame, sizes: DataFrame, limit: int = LIMIT, piece_rows: int = PIECE_ROWS, **targets) -> DataFrame:
-    """Adds source_size, target, tilt and _start (words of the source before the row) to rows with
-    doc_id, source, size. `sizes` has (doc_id, source, size) of the same rows, stored."""
+def placed(sizes: DataFrame, limit: int = LIMIT, piece_rows: int = PIECE_ROWS, **targets) -> DataFrame:
+    """Adds source_size, target, tilt and _start (words of the source before the row) to the rows of `sized`."""
     totals = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")), "sources")
     largest = totals.agg(F.max("_rows")).first()[0] or 1
     pieces = math.ceil(largest / piece_rows)
-    sums = (_ordered(sizes).groupBy("source", _piece(pieces).alias("_piece")).agg(F.sum("size").alias("_words")))
+    sums = sizes.groupBy("source", _piece(pieces).alias("_piece")).agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "_piece", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
     shares = source_targets(totals, limit=limit, **targets)
@@ -95,7 +97,7 @@ def placed(rows: DataFrame, sizes: DataFrame, limit: int = LIMIT, piece_rows: in
             .select("_source", F.col("_piece").alias("_of"), "_offset", "source_size", "target", "tilt"))
     inside = (Window.partitionBy("source", "_piece").orderBy("_order", "doc_id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    cut = _ordered(rows).withColumn("_piece", _piece(pieces))
+    cut = sizes.withColumn("_piece", _piece(pieces))
     return (cut.withColumn("_start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
             .join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_of")))
             .withColumn("_start", F.col("_start") + F.col("_offset"))
@@ -117,8 +119,7 @@ def mix(docs: DataFrame, limit: int = LIMIT, **options) -> DataFrame:
     come last. Null texts have no words; a null source is a source of its own, the last. Rows with
     equal ids are ordered by size. Other columns are ignored.
     """
-    sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    found = placed(sizes, sizes, limit, **options)
+    found = placed(sized(docs), limit, **options)
     taken = sum((_taken(k) for k in range(1, limit)), _taken(0))
     position = F.when(F.col("taken") > 0, F.round(due(F.col("_start"), F.col("target"), F.col("tilt")), 9))
     return (found.withColumn("taken", taken).withColumn("position", position)
@@ -126,23 +127,32 @@ def mix(docs: DataFrame, limit: int = LIMIT, **options) -> DataFrame:
             .orderBy(F.asc_nulls_last("position"), "doc_id"))
 
 
-def mixed(docs: DataFrame, limit: int = LIMIT, **options) -> DataFrame:
+def mixed(docs: DataFrame, limit: int = LIMIT, position: str | None = None, **options) -> DataFrame:
     """The training order itself: whole documents with all their columns, each as often as the mix
-    takes it, range-sorted by the moment each copy is due. A copy of which less than half is taken is left out."""
-    sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    takes it, range-sorted by the moment each copy is due. A copy of which less than half is taken is left out.
+
+    `position` names a further column for the moment (0..1), which tells the order once rows are stored and read again.
+    Null texts have no words; texts without words are taken once, when due. A null source is a source of its own, the last.
+    Rows that repeat are taken each on its own; an empty table gives an empty table.
+    """
+    found = placed(sized(docs, *row_key(F.col("doc_id"), whole("text"))), limit, **options)
+    start = F.col("_start")
+    copies = [F.when((_taken(k) * 2 >= F.col("size")) & ((F.col("size") > 0) | (k == 0)),
+                     F.struct(due(k * F.col("source_size") + start, F.col("target"), F.col("tilt")).alias("m"))) for k in range(limit)]
+    # rows that repeat stand beside each other in any order
+    same = F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id"))
+    moments = found.select("_id", "_text", same.alias("_k"), F.filter(F.array(*copies), lambda c: c.isNotNull()).alias("_due"))
+    moments = materialize(moments.filter(F.size("_due") > 0), "moments")
     # whole rows travel as one column, so that no name of theirs clashes
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", word_count("text").alias("size"))
-    found = placed(rows, sizes, limit, **options)
-    copies = found.withColumn("_copy", F.explode(F.array(*[F.lit(k) for k in range(limit)])))
-    chosen = copies.filter((_taken(F.col("_copy")) * 2 >= F.col("size")) & ((F.col("size") > 0) | (F.col("_copy") == 0)))
-    moment = due(F.col("_copy") * F.col("source_size") + F.col("_start"), F.col("target"), F.col("tilt"))
-    return (chosen.withColumn("_moment", moment).orderBy(F.asc_nulls_first("_moment"), "doc_id")
-            .select("_row.*"))
+    rows = docs.select(F.struct("*").alias("_row"), *row_key(F.col("doc_id"), whole("text"))).withColumn("_k", same)
+    chosen = rows.join(moments, ["_id", "_text", "_k"]).select("_row", "_id", F.explode("_due").alias("_due"))
+    ordered = chosen.orderBy(F.asc_nulls_first("_due.m"), "_id")
+    return ordered.select("_row.*", *([F.col("_due.m").alias(position)] if position else []))
 
 
 MIX_SQL = f"""
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size, md5(coalesce(cast(doc_id as varchar), '')) as h
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size, md5(coalesce(cast(doc_id as varchar), '') || ' ' || md5(coalesce(text, ''))) as h
   from documents),
 sources as (
   select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as r from sized group by source),
