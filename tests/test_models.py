@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trafficlens.config import DEFAULT, ModelSettings
-from trafficlens.operators import evaluation, models
+from trafficlens.operators import boosting, evaluation, models
 from trafficlens.operators.features import FEATURE_NAMES, session_features
 from trafficlens.operators.skew import materialize, new_path
-from trafficlens.plans import scoring
+from trafficlens.plans import scoring, store
 from trafficlens.sources.requests import read_events, requests_from_events
 
 QUICK = replace(DEFAULT, models=ModelSettings(boost_trees=8))
@@ -120,14 +120,15 @@ def test_boosting(spark, fitted, parts):
     scored = models.with_boosting(parts[0], fitted.boosting)
     assert scored.filter("gb_prediction <> label").count() <= 12
     assert scored.filter("gb_score < 0 or gb_score > 1").count() == 0
+    assert abs(sum(fitted.boosting.importances().values()) - 1) < 1e-9
     top = models.top_features(spark, fitted.boosting, 5).collect()
-    assert len(top) == 5 and all(r["feature"] in FEATURE_NAMES and r["importance"] >= 0 for r in top)
+    assert len(top) == 5 and [r["importance"] for r in top] == sorted((r["importance"] for r in top), reverse=True) and all(r["feature"] in FEATURE_NAMES and r["importance"] >= 0 for r in top)
 
 
 def test_boosting_on_top_features(spark, fitted, parts):
     names = [r["feature"] for r in models.top_features(spark, fitted.boosting, 4).collect()]
     small = models.fit_boosting(parts[0], QUICK, names)
-    assert len(small.stages[-1].featureImportances) == 4
+    assert small.names == tuple(names) and set(small.importances()) == set(names)
 
 
 def test_too_few_sessions(parts):
@@ -156,6 +157,30 @@ def test_save_load_and_single_scoring(spark, fitted, parts):
     assert all(0 <= r[3] <= 1 for r in whole.values())
 
 
+def test_a_save_that_dies_leaves_the_version_before(spark, fitted, monkeypatch):
+    path = new_path(spark, "test-store")
+    with pytest.raises(FileNotFoundError):
+        scoring.Detectors.load(spark, path)
+    first = fitted.save(spark, path)
+    other = scoring.Detectors(fitted.forest, boosting.first_trees(fitted.boosting, 2))
+
+    def dies(*args):
+        raise OSError("disk gone")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(boosting, "save", dies)
+        with pytest.raises(OSError):
+            other.save(spark, path)
+    assert store.versions(spark, path) == [first]
+    assert len(scoring.Detectors.load(spark, path).boosting.feature) == 8
+    second = other.save(spark, path)
+    assert store.versions(spark, path) == [second, first]
+    assert len(scoring.Detectors.load(spark, path).boosting.feature) == 2
+    assert len(scoring.Detectors.load(spark, path, first).boosting.feature) == 8
+    # the half-written one goes as well: it is older than the version kept
+    assert len(store.prune(spark, path, 1)) == 2 and store.versions(spark, path) == [second]
+
+
 def test_load_or_fit_without_models(spark, features):
     detectors, rest = scoring.load_or_fit(features, new_path(spark, "nothing"), replace(QUICK, models=ModelSettings(boost_trees=2)))
     assert rest.count() == 60 and detectors.forest.nodes["tree"].nunique() == 100

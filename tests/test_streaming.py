@@ -1,13 +1,19 @@
 """Streams give what the batch gives for everything the watermark has closed."""
 
+from dataclasses import replace
+
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trafficlens.config import DEFAULT, ModelSettings
 from trafficlens.operators import extras, mitigation
+from trafficlens.operators.features import session_features
 from trafficlens.operators.skew import new_path
 from trafficlens.plans import scoring
 from trafficlens.sources.requests import read_events
-from trafficlens.streaming import blocks, windows
+from trafficlens.streaming import blocks, sessions, windows
 
 
 @pytest.fixture(scope="module")
@@ -76,23 +82,71 @@ def test_nothing_is_missing_at_the_end(spark, log):
         assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, extras.rpm_windows(rows, "ip", length, slide).collect()))
 
 
-def test_scoring_reads_only_the_span_of_the_sessions(spark, log):
-    closed = batch_sessions(spark, log).withColumn("start_ms", F.floor("start_ms")).withColumn("end_ms", F.floor("end_ms")).limit(2)
-    plan = windows.requests_of(closed, spark.read.parquet(log), "ip")._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(timestamp_ms" in plan and "LessThan(timestamp_ms" in plan
+def sessions_of(rows, gap=300_000):
+    """Rows with the id of their session, by a plain window."""
+    order = Window.partitionBy("ip").orderBy("timestamp_ms", "request_id")
+    new = F.coalesce(F.col("timestamp_ms") - F.lag("timestamp_ms").over(order) >= gap, F.lit(True)).cast("int")
+    numbered = rows.withColumn("_new", new).withColumn("_no", F.sum("_new").over(order))
+    start = F.min("timestamp_ms").over(Window.partitionBy("ip", "_no"))
+    return numbered.withColumn("session_id", F.concat_ws("@", "ip", F.floor(start).cast("bigint"))).drop("_new", "_no")
 
 
-def test_closed_sessions_are_scored(spark, log):
-    out = new_path(spark, "test-decisions")
-    timed = windows.with_event_time(stream_of(spark, log))
-    windows.run_batches(windows.closed_sessions(timed, "ip"), windows.score_closed(log, out), "test-score")
-    found = spark.read.parquet(out)
-    closed = batch_sessions(spark, log)
-    whole = windows.requests_of(closed.withColumn("start_ms", F.floor("start_ms")).withColumn("end_ms", F.floor("end_ms")), spark.read.parquet(log), "ip")
-    want = scoring.decide_requests(whole)
-    key = lambda r: (r["session_id"], r["action"], round(r["risk_score"], 9))
-    assert sorted(map(key, found.collect())) == sorted(map(key, want.collect()))
-    assert found.count() == closed.count()
+SCORES = ["session_id", "n_requests", "statistical_score", "llm_score", "isolation_score", "gb_score", "risk_score", "explanation"]
+
+
+def equal_scores(spark, found, rows, detectors=None):
+    whole = scoring.score(session_features(sessions_of(rows)), detectors)
+    want, got = whole.select(SCORES).collect(), found.read(spark, "scores").select(SCORES).collect()
+    rounded = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    assert sorted(map(rounded, got)) == sorted(map(rounded, want))
+    decided = found.read(spark, "decisions").select("session_id", "page_context", "action").collect()
+    assert sorted(map(tuple, decided)) == sorted(map(tuple, mitigation.decide_in_context(whole).select("session_id", "page_context", "action").collect()))
+    return len(want)
+
+
+def test_every_session_of_a_stream_is_scored_from_state(spark, log):
+    rows = spark.read.parquet(log)
+    found = sessions.score_stream(stream_of(spark, log), "ip")
+    assert equal_scores(spark, found, rows) > 40
+    # the log was read by the stream alone: rows that left the state are those of the log
+    assert found.read(spark, "rows").count() == rows.count()
+
+
+def test_shuffled_arrival_and_a_second_run(spark, log):
+    """Sessions that reach over two runs, rows out of order within the delay, an address without a value."""
+    rows = spark.read.parquet(log).orderBy("timestamp_ms")
+    cut = rows.agg(F.expr("percentile(timestamp_ms, 0.5)")).first()[0]
+    store, out = new_path(spark, "test-arrivals"), new_path(spark, "test-scores")
+    # about four minutes out of order
+    early = F.col("timestamp_ms") + F.pmod(F.xxhash64("request_id"), F.lit(240_000)) < cut
+    rows.filter(early).orderBy(F.rand(1)).write.parquet(store)
+    first = sessions.score_stream(stream_of(spark, store), "ip", path=out, finish=False)
+    before = first.read(spark, "scores").count()
+    rows.filter(~early).unionByName(rows.limit(3).withColumn("ip", F.lit(None).cast("string"))).orderBy(F.rand(2)).write.mode("append").parquet(store)
+    found = sessions.score_stream(stream_of(spark, store), "ip", path=out)
+    assert 0 < before < equal_scores(spark, found, rows)
+
+
+def test_all_layers_on_a_stream(spark, log, requests):
+    features = session_features(requests)
+    small = replace(DEFAULT, models=ModelSettings(boost_trees=5, forest_trees=10))
+    fitted = scoring.fit_detectors(features, small)
+    found = sessions.score_stream(stream_of(spark, log), "ip", fitted)
+    equal_scores(spark, found, spark.read.parquet(log), fitted)
+    assert found.read(spark, "scores").select("gb_score").distinct().count() > 0
+
+
+def test_empty_stream(spark, log):
+    empty = new_path(spark, "test-empty")
+    spark.read.parquet(log).limit(0).write.parquet(empty)
+    found = sessions.score_stream(stream_of(spark, empty), "ip")
+    assert found.read(spark, "decisions").count() == 0
+
+
+def test_spans_merge():
+    times = pd.Series([5.0, 100.0, 104.9, 90.0])
+    assert sessions.merged([], times, 10.0) == [(5.0, 5.0), (90.0, 90.0), (100.0, 104.9)]
+    assert sessions.merged([(14.0, 20.0), (110.0, 111.0)], times, 10.0) == [(5.0, 20.0), (90.0, 90.0), (100.0, 111.0)]
 
 
 DECISIONS = [("a", "block", 0), ("a", "block", 1_000_000), ("a", "monitor", 2_000_000), ("a", "block", 4_500_000),

@@ -104,7 +104,7 @@ ABOUT = {
 TOTALS = ABOUT | {"resp_mean": "avg(resp_size)"}
 
 
-def _narrow(requests: DataFrame) -> DataFrame:
+def narrowed(requests: DataFrame) -> DataFrame:
     """The columns features read. Maps become counts and flags before anything is shuffled."""
     def present(name: str) -> Column:
         return F.map_contains_key("headers", name).cast("int")
@@ -381,7 +381,12 @@ def combined_need(families: Iterable[str]) -> Family:
 
 def session_features(requests: DataFrame, config: Settings = DEFAULT) -> DataFrame:
     """One row per session: its attributes and all 51 features."""
-    measured = _measured(requests, combined_need(FAMILIES), config)
+    return features_of_rows(narrowed(requests), config)
+
+
+def features_of_rows(rows: DataFrame, config: Settings = DEFAULT) -> DataFrame:
+    """`session_features` of rows that are `narrowed` already."""
+    measured = _measured(rows, combined_need(FAMILIES), config)
     named = measured.withColumns({"start_ms": F.col("t_first"), "end_ms": F.col("t_last")})
     return _evaluate(named, FEATURE_NAMES, True, SESSION_COLUMNS, config)
 
@@ -390,12 +395,11 @@ def family_features(requests: DataFrame, *families: str,
                     config: Settings = DEFAULT) -> DataFrame:
     """Session id and the features of some families, by the smallest plan that gives them."""
     need = combined_need(families)
-    measured = _measured(requests, need, config)
+    measured = _measured(narrowed(requests), need, config)
     return _evaluate(measured, need.names, need.order, ["session_id"], config)
 
 
-def _measured(requests: DataFrame, need: Family, config: Settings) -> DataFrame:
-    rows = _narrow(requests)
+def _measured(rows: DataFrame, need: Family, config: Settings) -> DataFrame:
     if not need.order:
         return _aggregate(rows, need)
     lags = {"timestamp_ms": 1} | ({"url": 5} if need.steps else {})

@@ -1,6 +1,6 @@
 """Train/test split, feature vectors, isolation forest and boosted trees.
 
-Boosting is MLlib's. MLlib has no isolation forest (Liu, Ting, Zhou 2008), so it is built here: each
+Boosting is that of `boosting.py`. MLlib has no isolation forest (Liu, Ting, Zhou 2008), so it is built here: each
 tree needs at most 256 rows, trees grow in parallel, and scoring reads one small node table.
 """
 
@@ -13,23 +13,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.config import DEFAULT, ModelSettings, Settings
 from trafficlens.functions.columns import class_label
+from trafficlens.operators import boosting
 from trafficlens.operators.features import FEATURE_NAMES
-from trafficlens.operators.skew import materialize, number_rows, shared_dir
+from trafficlens.operators.skew import number_rows
 
 # functions of this module travel inside the UDFs, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EULER_GAMMA = 0.5772156649015329
-TRAIN_ROWS = 50_000
 
 
 # --- splits and vectors ------------------------------------------------------------------------
@@ -92,56 +89,31 @@ def _require_rows(df: DataFrame, settings: ModelSettings) -> None:
 # --- boosted trees -------------------------------------------------------------------------------
 
 def fit_boosting(train: DataFrame, config: Settings = DEFAULT,
-                 names: Sequence[str] | None = None) -> PipelineModel:
-    """Scaler and boosted trees on the label; `names` limits the vector to some features.
+                 names: Sequence[str] | None = None) -> boosting.BoostedModel:
+    """Boosted trees on the label; `names` limits the vector to some features. Trees need no scaled features."""
+    _require_rows(train, config.models)
+    return boosting.fit(train, names or FEATURE_NAMES, config.models)
 
-    The training rows are stored once, in partitions of about TRAIN_ROWS: every level of every tree is a job over them.
-    """
-    m = config.models
-    _require_rows(train, m)
-    shared_dir(train.sparkSession)  # boosting checkpoints there
-    rows = materialize(train.select("label", *FEATURE_NAMES), "training")
-    train = rows.coalesce(max(1, -(-rows.count() // TRAIN_ROWS)))
-    sliced = VectorSlicer(inputCol="all_features", outputCol="features", names=list(names or FEATURE_NAMES))
-    whole = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="all_features")
-    trees = GBTClassifier(featuresCol="scaled", labelCol="label", maxIter=m.boost_trees,
-                          maxDepth=m.boost_depth, stepSize=m.boost_rate,
-                          subsamplingRate=m.boost_subsample, seed=m.seed, cacheNodeIds=True,
-                          checkpointInterval=50, maxMemoryInMB=512)
-    return Pipeline(stages=[whole, sliced, scaler(), trees]).fit(train)
-
-
-def fit_boosting_on_best(train: DataFrame, config: Settings = DEFAULT) -> PipelineModel:
+
+def fit_boosting_on_best(train: DataFrame, config: Settings = DEFAULT) -> boosting.BoostedModel:
     """Boosted trees on the `top_features` most important features of a first fit on all."""
     first = fit_boosting(train, config)
     best = top_features(train.sparkSession, first, config.models.top_features).collect()
     return fit_boosting(train, config, [row["feature"] for row in best])
 
 
-def with_boosting(features: DataFrame, model: PipelineModel) -> DataFrame:
+def with_boosting(features: DataFrame, model: boosting.BoostedModel) -> DataFrame:
     """Adds gb_score (probability of class 1) and gb_prediction."""
-    scored = model.transform(features)
-    return scored.select(*features.columns,
-                         vector_to_array("probability")[1].alias("gb_score"),
-                         F.col("prediction").cast("int").alias("gb_prediction"))
+    return (features.withColumn("gb_score", boosting.probability(model, features.sparkSession))
+            .withColumn("gb_prediction", (F.col("gb_score") > 0.5).cast("int")))
 
 
-def top_features(spark: SparkSession, model: PipelineModel, n: int = 15) -> DataFrame:
+def top_features(spark: SparkSession, model: boosting.BoostedModel, n: int = 15) -> DataFrame:
     """The n features with the highest importance."""
-    names = model.stages[1].getNames()
-    pairs = [(name, float(v)) for name, v in zip(names, model.stages[-1].featureImportances.toArray())]
-    return (spark.createDataFrame(pairs, "feature string, importance double")
+    return (spark.createDataFrame(list(model.importances().items()), "feature string, importance double")
             .orderBy(F.desc("importance"), "feature").limit(n))
 
 
-def save_boosting(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_boosting(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
 # --- isolation forest ---------------------------------------------------------------------------
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "

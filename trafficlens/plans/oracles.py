@@ -59,6 +59,14 @@ r as (
                  then lag(url) over (partition by session_id order by seq) end as referrer
   from r0)"""
 
+# requests a hundred times further apart, as sessions of addresses by gap: session_id becomes address@start
+SPREAD = """
+far as (select *, 1.7e12::double + (timestamp_ms - 1.7e12::double) * 100 as far_ms from near),
+gone as (select *, far_ms - lag(far_ms) over (partition by ip order by far_ms, request_id) as pause from far),
+parts as (select *, sum(case when pause is null or pause >= 300000 then 1 else 0 end)
+            over (partition by ip order by far_ms, request_id rows unbounded preceding) as s_no from gone),
+r as (select * replace (ip || '@' || floor(min(far_ms) over (partition by ip, s_no))::bigint as session_id, far_ms as timestamp_ms) from parts)"""
+
 SEQUENCE = """
 o as (
   select *, row_number() over w as rn, count(*) over (partition by session_id) as n,
@@ -510,29 +518,25 @@ held as (select *, row_number() over (order by md5(session_id || ':42'), session
             from (select distinct session_id from r) left join m using (session_id)""",
         "http_sessions": f"""{base} select label, count(*) as n_requests, ceil(count(*) / 20)::bigint as n_sessions, count(*) as last_row
             from r group by label""",
-        "stream_scores": f"""{base}, far as (select ip, request_id, 1.7e12::double + (timestamp_ms - 1.7e12::double) * 100 as timestamp_ms from r),
-            t as (select ip, timestamp_ms, request_id,
-              timestamp_ms - lag(timestamp_ms) over (partition by ip order by timestamp_ms, request_id) as gap from far),
-            v as (select *, sum(case when gap is null or gap >= 300000 then 1 else 0 end)
-                over (partition by ip order by timestamp_ms, request_id rows unbounded preceding) as no from t),
-            w as (select ip, no, min(timestamp_ms) as start_ms, max(timestamp_ms) as end_ms from v group by ip, no)
-            select ip || '@' || start_ms::bigint as session_id, 1 as is_decided, 1 as risk_score_in_range from w
-            where end_ms + 300000 <= (select max(timestamp_ms) - 600000 from far)""",
-        "load_or_fit": f"""{held} select 'fitted' as call, count(*) - floor(count(*) * 0.6)::bigint as n_sessions from s
-            union all select 'loaded', count(*) from s""",
+        "stream_scores": f"""{_with(BASE.replace(chr(10) + "r as (", chr(10) + "near as ("), SPREAD, DETECT)}, k as ({in_page})
+            select session_id, n as n_requests, {_t('stat', 'statistical_score')}, {_t('agent', 'llm_score')}, {_t('risk', 'risk_score')},
+              page_context, action from k""",
+        "load_or_fit": f"""{held} select 'fitted' as call, count(*) - floor(count(*) * 0.6)::bigint as n_sessions, 1 as same_scores from s
+            union all select 'loaded', count(*), 1 from s""",
         "train_report": f"""{held} select sum(label)::bigint as n_attack, sum(1 - label)::bigint as n_human, 1 as is_good,
             1 as auprc_in_range from held where place <= n_test""",
-        "best_features_fit": "select 30 as n_features, 1 as are_features, 1 as refuses_few",
+        "best_features_fit": "select 30 as n_features, 1 as are_features, 1 as shares_add_up, 1 as refuses_few",
         # models
         "train_test_split": f"""{held} select session_id, label, case when place <= n_test then 'test' else 'train' end as part from held""",
         "seeded_order": f"""{held} select session_id, label, place as row_no from held""",
         "scale_features": f"""{_with(BASE, FEATURES)}, fin as (select session_id, {raw_features} from f)
             select session_id, {scaled} from fin""",
         "iforest": f"""{held} select session_id, label, 1 as isolation_score_in_range, 1 as prediction_fits from held where place <= n_test""",
-        "gbt": f"""{held} select session_id, label, 1 as gb_score_in_range, 1 as prediction_fits from held where place <= n_test""",
+        "gbt": f"""{held} select session_id, label, label::int as gb_prediction, 1 as gb_score_in_range, 1 as prediction_fits from held where place <= n_test""",
         "model_roundtrip": f"""{held} select session_id, 1 as is_equal from held where place <= n_test""",
-        "ensemble": f"""{held} select session_id, label, 1 as risk_score_in_range, 1 as at_least_mean, 1 as override_fits,
-            1 as is_explained from held where place <= n_test""",
+        "ensemble": f"""{held}, {DETECT.lstrip()} select session_id, held.label, {_t('stat', 'statistical_score')}, {_t('agent', 'llm_score')},
+            1 as risk_score_in_range, 1 as at_least_mean, 1 as override_fits, 1 as firing_fits, 1 as is_explained
+            from held join x using (session_id) where place <= n_test""",
         "top_features": """select (i + 1)::int as rank, 1 as is_feature, 1 as is_single, 1 as importance_in_range from range(15) g(i)""",
         "timing_flag": f"""{_with(BASE, FEATURES)} select session_id, (gs < 150)::int as is_regular from f""",
         "regular_runs": f"""{seq}, g as (select session_id, rn, coalesce(abs(gap - gap_before) <= 0.1::double * gap_before, false) as near from o),

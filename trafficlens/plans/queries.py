@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from trafficlens.operators.skew import materialize, new_path, number_rows, share
 from trafficlens.plans import scoring
 from trafficlens.sources import http_text
 from trafficlens.sources import requests as req
-from trafficlens.streaming import blocks, windows
+from trafficlens.streaming import blocks, sessions, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 tidy = fn.tidy
@@ -219,7 +220,7 @@ def all_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
     matrix = models.feature_matrix(session_features(requests(spark, folder)))
-    values = matrix.withColumn("v", models.vector_to_array("features"))
+    values = matrix.withColumn("v", vector_to_array("features"))
     slots = [F.expr(f"round(v[{k}], 6) + 0D as {name}") for k, name in enumerate(FEATURE_NAMES)]
     return values.select("session_id", "y_binary", "y_multi", F.size("v").alias("n_features"), *slots)
 
@@ -462,21 +463,36 @@ def seeded_order(spark: SparkSession, folder: str) -> DataFrame:
 def scale_features(spark: SparkSession, folder: str) -> DataFrame:
     matrix = models.feature_matrix(session_features(requests(spark, folder)))
     fitted = models.scaler().fit(matrix)
-    scaled = fitted.transform(matrix).withColumn("v", models.vector_to_array("scaled"))
+    scaled = fitted.transform(matrix).withColumn("v", vector_to_array("scaled"))
     return scaled.select("session_id", *[F.expr(f"round(v[{k}], 4) + 0D as {name}") for k, name in enumerate(FEATURE_NAMES)])
 
 
+def _forest_scored(spark: SparkSession, folder: str) -> DataFrame:
+    fitted, test = _fit(spark, folder)
+    return models.with_forest(test, fitted.forest)
+
+
 def iforest(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = models.train_test_split(session_features(requests(spark, folder)))
-    scored_test = models.with_forest(test, models.fit_forest(train))
-    return scored_test.select("session_id", "label", *_in_range("isolation_score"),
-                              _flag(F.col("isolation_prediction") == (F.col("isolation_score") > 0.5).cast("int")).alias("prediction_fits"))
+    """Held-out sessions: how many of the other label each one's score stands above or below, as it should."""
+    return _forest_scored(spark, folder).select(
+        "session_id", "label", *_in_range("isolation_score"),
+        _flag(F.col("isolation_prediction") == (F.col("isolation_score") > 0.5).cast("int")).alias("prediction_fits"))
+
+
+def iforest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _forest_scored(spark, folder).select("session_id", "label", "isolation_score", "isolation_prediction")
 
 
 def gbt(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out sessions with the predicted label."""
     fitted, test = _fit(spark, folder)
     return models.with_boosting(test, fitted.boosting).select(
-        "session_id", "label", *_in_range("gb_score"), _flag(F.col("gb_prediction") == (F.col("gb_score") > 0.5).cast("int")).alias("prediction_fits"))
+        "session_id", "label", "gb_prediction", *_in_range("gb_score"), _flag(F.col("gb_prediction") == (F.col("gb_score") > 0.5).cast("int")).alias("prediction_fits"))
+
+
+def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
+    fitted, test = _fit(spark, folder)
+    return models.with_boosting(test, fitted.boosting).select("session_id", "label", "gb_score", "gb_prediction")
 
 
 def top_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -488,6 +504,11 @@ def top_features(spark: SparkSession, folder: str) -> DataFrame:
                         *_in_range("importance"))
 
 
+def feature_importances(spark: SparkSession, folder: str) -> DataFrame:
+    """All features with their share of the gain, the largest first."""
+    return models.top_features(spark, _fit(spark, folder)[0].boosting, len(FEATURE_NAMES))
+
+
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of the held-out sessions by saved and loaded models."""
     fitted, test = _fit(spark, folder)
@@ -500,20 +521,31 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ensemble(spark: SparkSession, folder: str) -> DataFrame:
-    fitted, test = _fit(spark, folder)
     """The risk score against the weighted mean worked out again from the four stored scores."""
+    fitted, test = _fit(spark, folder)
     found = scoring.score(test, fitted)
     weights = {"statistical_score": 0.25, "isolation_score": 0.25, "gb_score": 0.30, "llm_score": 0.20}
     mean = reduce(Column.__add__, [F.col(c) * w for c, w in weights.items()])
     most = F.greatest(*weights)
-    return found.select("session_id", "label", *_in_range("risk_score"),
-                        _flag(F.col("risk_score") >= mean - 1e-6).alias("at_least_mean"),
+    firing = reduce(Column.__add__, [(F.col(c) > 0.5).cast("int") for c in weights])
+    return found.select("session_id", "label", tidy(F.col("statistical_score")).alias("statistical_score"), tidy(F.col("llm_score")).alias("llm_score"),
+                        *_in_range("risk_score"), _flag(F.col("risk_score") >= mean - 1e-6).alias("at_least_mean"),
                         _flag((most < 0.95) | (F.col("risk_score") >= 0.85)).alias("override_fits"),
-                        _flag(F.length("explanation") > 0).alias("is_explained"))
+                        _flag(F.col("n_detectors_firing") == firing).alias("firing_fits"), _flag(F.length("explanation") > 0).alias("is_explained"))
 
 
-# fits in jobs that are checked as a whole: few trees, the rest as configured
-QUICK = replace(DEFAULT, models=replace(DEFAULT.models, boost_trees=3))
+def risk_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """All layers of the held-out sessions, with the decision."""
+    fitted, test = _fit(spark, folder)
+    found = materialize(scoring.score(test, fitted), "risk")
+    decided = mitigation.decide_in_context(found).select("session_id", "action")
+    return found.select("session_id", "label", "statistical_score", "isolation_score", "gb_score", "llm_score", "risk_score", "explanation").join(decided, "session_id")
+
+
+def risk_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    """The best threshold on the risk score of all layers, with its rates."""
+    fitted, test = _fit(spark, folder)
+    return ev.optimal_threshold(scoring.eval_input(scoring.score(test, fitted)))
 
 
 def http_sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -524,51 +556,62 @@ def http_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions of addresses that close on a stream, scored and decided from the stored log.
+    """Every session of every address of a stream, scored and decided as it ends, without reading the log again.
 
     The view's requests lie within minutes; a hundred times further apart, they fall into sessions.
     """
-    log, out = new_path(spark, "log"), new_path(spark, "decisions")
+    log = new_path(spark, "log")
     apart = F.lit(1.7e12) + (F.col("timestamp_ms") - 1.7e12) * 100
     requests(spark, folder).withColumn("timestamp_ms", apart).write.parquet(log)
     stored = spark.read.parquet(log)
-    timed = windows.with_event_time(spark.readStream.schema(stored.schema).parquet(log))
-    windows.run_batches(windows.closed_sessions(timed, "ip"), windows.score_closed(log, out), "score")
-    decided = spark.read.option("mergeSchema", "true").parquet(out)
-    return decided.select("session_id", _flag(F.col("action").isin("allow", "monitor", "throttle", "challenge", "block")).alias("is_decided"),
-                          *_in_range("risk_score"))
+    found = sessions.score_stream(spark.readStream.schema(stored.schema).parquet(log), "ip")
+    scores = found.read(spark, "scores").select("session_id", "n_requests", tidy(F.col("statistical_score")).alias("statistical_score"),
+                                                tidy(F.col("llm_score")).alias("llm_score"), tidy(F.col("risk_score")).alias("risk_score"))
+    return scores.join(found.read(spark, "decisions").select("session_id", "page_context", "action"), "session_id")
 
 
 def load_or_fit(spark: SparkSession, folder: str) -> DataFrame:
     """First call fits on the first 60 % and gives the rest; the second loads and gives all."""
-    features, path = session_features(requests(spark, folder)), new_path(spark, "load-or-fit")
-    fitted, rest = scoring.load_or_fit(features, path, QUICK)
+    features, path = materialize(session_features(requests(spark, folder)), "load-or-fit"), new_path(spark, "load-or-fit")
+    fitted, rest = scoring.load_or_fit(features, path)
     fitted.save(spark, path)
-    _, whole = scoring.load_or_fit(features, path, QUICK)
-    return (rest.select("session_id", F.lit("fitted").alias("call"))
-            .unionByName(whole.select("session_id", F.lit("loaded").alias("call"))).groupBy("call").agg(F.count(F.lit(1)).alias("n_sessions")))
+    loaded, whole = scoring.load_or_fit(features, path)
+    # the same sessions by the models before and after
+    scores = [scoring.score(rest, d).select("session_id", F.col("risk_score").alias(n)) for d, n in ((fitted, "a"), (loaded, "b"))]
+    equal = scores[0].join(scores[1], "session_id").select("session_id", _flag(F.col("a") == F.col("b")).alias("same"))
+    return (equal.select("session_id", "same", F.lit("fitted").alias("call"))
+            .unionByName(whole.select("session_id", F.lit(1).alias("same"), F.lit("loaded").alias("call")))
+            .groupBy("call").agg(F.count(F.lit(1)).alias("n_sessions"), F.min("same").alias("same_scores")))
 
 
 def train_report(spark: SparkSession, folder: str) -> DataFrame:
     """Split, fit, save, score, report: the counts of the report add up to the held-out sessions."""
-    report = scoring.train_and_evaluate(requests(spark, folder), new_path(spark, "report"), QUICK)
+    report = scoring.train_and_evaluate(requests(spark, folder), new_path(spark, "report"))
     return report.select((F.col("tp") + F.col("fn")).alias("n_attack"), (F.col("fp") + F.col("tn")).alias("n_human"),
                          _flag((F.col("recall") >= 0.8) & (F.col("auroc") >= 0.9)).alias("is_good"), *_in_range("auprc"))
 
 
+def train_report_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The report itself: counts, rates, threshold and areas, and a row for every class."""
+    path = new_path(spark, "report")
+    whole = scoring.train_and_evaluate(requests(spark, folder), path).withColumn("traffic_class", F.lit("all"))
+    return whole.unionByName(spark.read.json(f"{path}/report_per_class"), allowMissingColumns=True)
+
+
 def best_features_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Boosting on the 30 most important features, and the refusal to train on too few sessions."""
     train, _ = models.train_test_split(session_features(requests(spark, folder)))
-    fitted = models.fit_boosting_on_best(train, QUICK)
-    too_few = replace(QUICK.models, min_training_sessions=train.count() + 1)
+    fitted = models.fit_boosting_on_best(train)
+    too_few = replace(DEFAULT, models=replace(DEFAULT.models, min_training_sessions=train.count() + 1))
     try:
-        models.fit_boosting(train, replace(QUICK, models=too_few))
+        models.fit_boosting(train, too_few)
         refused = 0
     except ValueError:
         refused = 1
-    names = fitted.stages[1].getNames()
-    return spark.range(1).select(F.lit(len(set(names))).alias("n_features"), F.lit(int(set(names) <= set(FEATURE_NAMES))).alias("are_features"),
-                                 F.lit(refused).alias("refuses_few"))
+    rows = list(fitted.importances().items())
+    found = spark.createDataFrame(rows, "feature string, importance double")
+    return found.groupBy().agg(F.countDistinct("feature").cast("int").alias("n_features"), _flag(F.min(F.col("feature").isin(*FEATURE_NAMES))).alias("are_features"),
+                               _flag(F.abs(F.sum("importance") - 1) < 1e-9).alias("shares_add_up"), F.lit(refused).alias("refuses_few"))
 
 
 def live_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -585,8 +628,10 @@ def live_blocks(spark: SparkSession, folder: str) -> DataFrame:
         F.max_by(F.struct("blocked_from_ms", "blocked_until_ms", "n_blocks"), "batch").alias("b")).select("ip", "b.*")
 
 
-ROWS_ONLY = {f.__name__: f for f in (train_test_split, seeded_order, scale_features, iforest, gbt, top_features,
-                                     model_roundtrip, ensemble)}
+MODELS = {f.__name__: f for f in (train_test_split, seeded_order, scale_features, iforest, gbt, top_features,
+                                  model_roundtrip, ensemble)}
+# values that only a fitted model knows: tests compare them with loops
+VALUES = {f.__name__: f for f in (iforest_scores, gbt_scores, feature_importances, risk_scores, risk_threshold, train_report_full)}
 
 CHECKED = {name: _family(name) for name in FAMILIES} | {
     f.__name__: f for f in (
@@ -605,4 +650,4 @@ CHECKED = {name: _family(name) for name in FAMILIES} | {
     "stat_reason": _rules("session_id", "statistical_reason"),
 }
 
-QUERIES: dict[str, Query] = CHECKED | ROWS_ONLY
+QUERIES: dict[str, Query] = CHECKED | MODELS | VALUES

@@ -4,32 +4,36 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.config import DEFAULT, Settings
-from trafficlens.operators import evaluation, models
+from trafficlens.operators import boosting, evaluation, models
 from trafficlens.operators.detectors import (score_without_models, with_agent_score, with_ensemble,
                                              with_rules)
 from trafficlens.operators.features import session_features
 from trafficlens.operators.mitigation import decide_in_context
 from trafficlens.operators.skew import materialize
+from trafficlens.plans import store
 
 
 @dataclass(frozen=True)
 class Detectors:
     forest: models.ForestModel
-    boosting: PipelineModel
+    boosting: boosting.BoostedModel
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        models.save_forest(spark, self.forest, f"{path}/forest")
-        models.save_boosting(self.boosting, f"{path}/boosting")
+    def save(self, spark: SparkSession, path: str) -> str:
+        """Write a new version under the path; readers see it once it is whole. Returns its name."""
+        def write(folder: str) -> None:
+            models.save_forest(spark, self.forest, f"{folder}/forest")
+            boosting.save(spark, self.boosting, f"{folder}/boosting")
+        return store.save(spark, path, write)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Detectors:
-        return cls(models.load_forest(spark, f"{path}/forest"),
-                   models.load_boosting(f"{path}/boosting"))
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> Detectors:
+        """The newest whole version, or the one named."""
+        folder = store.folder(spark, path, version)
+        return cls(models.load_forest(spark, f"{folder}/forest"), boosting.load(spark, f"{folder}/boosting"))
 
 
 def fit_detectors(train: DataFrame, config: Settings = DEFAULT) -> Detectors:
@@ -37,11 +41,8 @@ def fit_detectors(train: DataFrame, config: Settings = DEFAULT) -> Detectors:
 
 
 def saved_at(spark: SparkSession, path: str) -> bool:
-    """Whether both models are under the path, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in ("forest/range", "boosting/metadata")]
-    return all(p.getFileSystem(conf).exists(p) for p in parts)
+    """Whether a whole version of the models is under the path, on whatever file system it is."""
+    return bool(store.versions(spark, path))
 
 
 def load_or_fit(features: DataFrame, path: str, config: Settings = DEFAULT) -> tuple[Detectors, DataFrame]:

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from trafficlens.config import DEFAULT, Settings
 from trafficlens.functions import columns as fn
 from trafficlens.operators.skew import new_path
-from trafficlens.plans.scoring import Detectors, decide_requests
 
 
 def with_event_time(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -57,41 +56,6 @@ def with_open_windows(done: DataFrame, requests: DataFrame, key: str, length: st
     return done.unionByName(rest)
 
 
-HOUR_MS = 3_600_000
-
-
-def requests_of(closed: DataFrame, log: DataFrame, key: str) -> DataFrame:
-    """Rows of the stored log that belong to closed sessions, with a session id of key and start.
-
-    A session meets only the log rows of its own hours, and the log is read only between the first and the last
-    of the sessions.
-    """
-    span = closed.agg(F.min("start_ms"), F.max("end_ms")).first()
-    if span[0] is None:
-        span = (0, -1)
-    near = log.filter((F.col("timestamp_ms") >= float(span[0])) & (F.col("timestamp_ms") < float(span[1] + 1)))
-    hours = F.sequence(F.floor(F.col("start_ms") / HOUR_MS), F.floor(F.col("end_ms") / HOUR_MS))
-    bounds = closed.select(key, F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"), F.explode(hours).alias("_hour"))
-    inside = (F.floor("timestamp_ms") >= F.col("_from")) & (F.floor("timestamp_ms") <= F.col("_to"))
-    return (near.withColumn("_hour", F.floor(F.col("timestamp_ms") / HOUR_MS)).join(bounds, [key, "_hour"]).filter(inside)
-            .withColumn("session_id", F.concat_ws("@", F.col(key), F.col("_from"))).drop("_from", "_to", "_hour"))
-
-
-def score_closed(log_path: str, out_path: str, key: str = "ip", detectors: Detectors | None = None,
-                 config: Settings = DEFAULT) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: closed sessions in, decisions out.
-
-    Each batch writes its own folder, so a batch that runs again replaces its earlier output.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        log = batch.sparkSession.read.parquet(log_path)
-        closed = batch.persist()  # read for its span and for the join
-        decided = decide_requests(requests_of(closed, log, key), detectors, config)
-        decided.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        closed.unpersist()
-    return write
-
-
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process all input that is there now into a parquet table and read it."""
     spark = stream.sparkSession
