@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions import columns
@@ -10,6 +10,8 @@ from trafficlens.operators.skew import cumulative
 
 # 90 cut points from 0.10 to 0.99.
 THRESHOLDS = tuple(0.1 + i * ((0.99 - 0.1) / 89) for i in range(89)) + (0.99,)
+# those, and the cut that stands where none of them fits
+OBSERVED = tuple(sorted({*THRESHOLDS, 0.5}))
 
 
 def _rates(counts: DataFrame) -> DataFrame:
@@ -83,10 +85,10 @@ def auprc(scored: DataFrame, points: DataFrame | None = None) -> DataFrame:
     return steps.groupBy().agg(F.expr("sum(step * (here + before) / 2D) as auprc"))
 
 
-def full_report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Counts, rates and both areas in one row."""
+def full_report(scored: DataFrame, threshold: float = 0.5, row: DataFrame | None = None) -> DataFrame:
+    """Counts, rates and both areas in one row. `row` has the counts and rates if they are known already."""
     points = curve_points(scored)
-    row = confusion_metrics(scored, threshold)
+    row = confusion_metrics(scored, threshold) if row is None else row
     areas = row.select("*", auroc(scored, points).scalar().alias("_roc"), auprc(scored, points).scalar().alias("_pr"))
     return areas.selectExpr("*", f"{columns.exact_round('_roc')} as auroc",
                             f"{columns.exact_round('_pr')} as auprc").drop("_roc", "_pr")
@@ -132,12 +134,30 @@ def threshold_grid(scored: DataFrame) -> DataFrame:
 
 def optimal_threshold(scored: DataFrame, target_fpr: float = 0.01) -> DataFrame:
     """Lowest cut point with the best recall among those within the target; 0.5 if none has any."""
-    fit = threshold_grid(scored).filter(f"fpr <= {target_fpr!r}D and recall > 0")
+    return best_of_grid(threshold_grid(scored), target_fpr)
+
+
+def best_of_grid(grid: DataFrame, target_fpr: float = 0.01) -> DataFrame:
+    fit = grid.filter(f"fpr <= {target_fpr!r}D and recall > 0")
     best = fit.groupBy().agg(F.max_by(F.struct("threshold", "recall", "fpr"),
                                       F.struct(F.col("recall"), -F.col("threshold"))).alias("b"))
     return best.selectExpr("coalesce(b.threshold, 0.5D) as threshold", "b.recall as recall", "b.fpr as fpr")
 
 
+def observed(scored: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows, and what will be known of them once they have been written: counts at every cut point and at 0.5."""
+    watch = Observation("scores")
+    counts = [F.expr(f"count_if(y_true = {y} and y_score >= {t!r}D) as {n}{k}") for k, t in enumerate(OBSERVED) for n, y in (("tp", 1), ("fp", 0))]
+    return scored.observe(watch, F.expr("count_if(y_true = 1) as pos"), F.expr("count_if(y_true = 0) as neg"), *counts), watch
+
+
+def observed_grid(spark: SparkSession, watch: Observation) -> DataFrame:
+    """`threshold_grid`, and a row for 0.5, from an observed write; no row is read again."""
+    c = watch.get
+    rows = [(t, c[f"tp{k}"], c[f"fp{k}"], c["neg"] - c[f"fp{k}"], c["pos"] - c[f"tp{k}"]) for k, t in enumerate(OBSERVED)]
+    return _rates(spark.createDataFrame(rows, "threshold double, tp bigint, fp bigint, tn bigint, fn bigint"))
+
+
 def metric_flags(metrics: DataFrame) -> DataFrame:
     return metrics.selectExpr("fpr", "recall", "if(fpr > 0.02D, 'HIGH', 'OK') as fpr_flag",
                               "if(recall < 0.90D, 'LOW', 'OK') as recall_flag")

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import threading
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,8 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_SCOPES = threading.local()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trafficlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/trafficlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for scope in getattr(_SCOPES, "open", [])[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those named by `keep(materialize(...))`.
+
+    What leaves the block must read kept tables only: they are whole by then, so nothing has to be worked out again.
+    """
+    opened = _SCOPES.open = getattr(_SCOPES, "open", [])
+    paths: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(paths[-1])
+        return df
+
+    opened.append(paths)
+    try:
+        yield keep
+    finally:
+        opened.pop()
+        for outer in opened[-1:]:
+            outer += kept
+    for path in paths:
+        if path not in kept:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -420,6 +420,19 @@ held as (select *, row_number() over (order by md5(session_id || ':42'), session
         "decide_context": f"{det} {decision} from ({in_page})",
         "allowlist": f"{det} {decision} from ({listed})",
         "allowlist_join": f"""{det} select session_id, asn, (asn in ('AS15169', 'AS8075', 'AS16509'))::int as is_allowed from x""",
+        "allowlist_cidr": f"""{base}, listed as (
+              select n_nationkey * 256 + n_regionkey * 4 as host, 28 + n_regionkey % 3 as bits from nation
+              union all select n_nationkey * 256 + n_regionkey * 4 + 1, 32 from nation
+              union all select n_nationkey * 256 + n_regionkey * 4, 30 from nation),
+            ranges as (select host - host % (1 << (32 - bits)) as low, host - host % (1 << (32 - bits)) + (1 << (32 - bits)) - 1 as high from listed),
+            seats as (select session_id, max(ip) as ip from r group by session_id)
+            select session_id, ip, exists (select 1 from ranges where cast(string_split(ip, '.')[3] as int) * 256 + cast(string_split(ip, '.')[4] as int)
+              between low and high)::int as is_allowed from seats""",
+        "distinct_pages_by_days": f"""{base}, dated as (select session_id, url,
+              floor((1.7e12::double + (timestamp_ms - 1.7e12::double) * 100000) / 86400000) - floor(1.7e12::double / 86400000) as day_no from r)
+            select session_id, count(distinct url) as n_distinct, count(distinct case when day_no < 30 then url end) as n_early
+            from dated group by session_id""",
+        "features_of_store": f"""{_with(BASE, FEATURES)} select session_id, {', '.join(_t(v, k) for k, v in FEATURE_SQL.items())} from f""",
         "action_summary": f"{det} select action, count(*) as n_decisions from ({in_page}) group by action",
         "repeat_offenders": f"""{det} select ip, session_id, row_number() over (partition by ip order by end_ms, session_id) - 1
             as earlier_blocks from ({general}) where action = 'block'""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -14,12 +15,12 @@ from trafficlens.config import DEFAULT
 from trafficlens.functions import columns as fn
 from trafficlens.operators import detectors as det
 from trafficlens.operators import evaluation as ev
-from trafficlens.operators import extras, mitigation, models, sequence
+from trafficlens.operators import extras, mitigation, models, networks, sequence
 from trafficlens.operators.features import (FAMILIES, FEATURE_NAMES, clean_features, family_features,
                                             session_features)
 from trafficlens.operators.skew import materialize, new_path, number_rows, shared_dir
 from trafficlens.plans import scoring
-from trafficlens.sources import http_text
+from trafficlens.sources import http_text, store
 from trafficlens.sources import requests as req
 from trafficlens.streaming import blocks, sessions, windows
 
@@ -291,6 +292,15 @@ def allowlist_join(spark: SparkSession, folder: str) -> DataFrame:
     return mitigation.allowed_by_table(sessions, table).select("session_id", "asn", *_as_int("is_allowed"))
 
 
+def allowlist_cidr(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions whose address is in a network of a table: networks and single addresses, some inside others."""
+    nations = spark.read.parquet(f"{folder}/nation.parquet")
+    host = "concat('10.0.', n_nationkey, '.', n_regionkey * 4)"
+    listed = nations.selectExpr(f"explode(array(concat({host}, '/', 28 + n_regionkey % 3), concat('10.0.', n_nationkey, '.', n_regionkey * 4 + 1), concat({host}, '/30'))) as cidr")
+    sessions_ip = requests(spark, folder).groupBy("session_id").agg(F.max("ip").alias("ip"))
+    return networks.in_networks(sessions_ip, networks.network_ranges(listed)).select("session_id", "ip", *_as_int("is_allowed"))
+
+
 def action_summary(spark: SparkSession, folder: str) -> DataFrame:
     return mitigation.action_summary(mitigation.decide_in_context(scored(spark, folder)))
 
@@ -416,6 +426,25 @@ def peak_rpm(spark: SparkSession, folder: str) -> DataFrame:
     return extras.peak_rpm(requests(spark, folder))
 
 
+def distinct_pages_by_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct urls of every session over all days and over the first 30, from sketches of single days.
+
+    The view's requests lie within minutes; a hundred thousand times further apart, they fall on many days.
+    """
+    apart = F.lit(1.7e12) + (F.col("timestamp_ms") - 1.7e12) * 100_000
+    sketches = materialize(extras.day_sketches(requests(spark, folder).withColumn("timestamp_ms", apart), ["session_id"], "url"), "sketches")
+    first = int(1.7e12 // extras.DAY_MS)
+    whole = extras.distinct_over_days(sketches, ["session_id"])
+    early = extras.distinct_over_days(sketches, ["session_id"], first, first + 29).withColumnRenamed("n_distinct", "n_early")
+    return whole.join(early, "session_id", "left").select("session_id", "n_distinct", F.coalesce("n_early", F.lit(0)).alias("n_early"))
+
+
+def features_of_store(spark: SparkSession, folder: str) -> DataFrame:
+    """All features from the request table that is stored by session, without an exchange."""
+    stored = store.write_store(requests(spark, folder), f"requests_{uuid.uuid4().hex}", 8, new_path(spark, "store"))
+    return session_features(stored).select("session_id", *[tidy(F.col(c)).alias(c) for c in FEATURE_NAMES])
+
+
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     timed = windows.with_event_time(windows.event_stream(spark, folder))
     closed = windows.run_to_end(windows.closed_sessions(timed, "user_id"), "stream-sessions")
@@ -639,7 +668,7 @@ CHECKED = {name: _family(name) for name in FAMILIES} | {
         attach_body, pseudo_sessions, cap_requests, attack_type, attack_breakdown, bot_ua, label_map, feature_clean,
         union_sources, distinct_pages, class_distribution, first_n_per_class, iat, backtracks, forward_steps,
         feature_matrix, stat_rules, stat_predict, llm_detector, llm_predict, llm_explain, ensemble_no_ml,
-        ensemble_explain, decide, decide_context, allowlist, allowlist_join, action_summary, repeat_offenders,
+        ensemble_explain, decide, decide_context, allowlist, allowlist_join, allowlist_cidr, distinct_pages_by_days, features_of_store, action_summary, repeat_offenders,
         block_intervals, known_ja3, unknown_ja3, scores_by_class, confusion_metrics, metric_flags, per_class_metrics,
         roc_curve, pr_curve, auroc, auprc, threshold_grid, optimal_threshold, sessionize_gap, rpm_tumbling,
         rpm_sliding, iat_histogram, url_entropy_last50, missing_headers, rpm_zscore, consecutive_404s, timing_flag,

@@ -81,9 +81,12 @@ def train_and_evaluate(requests: DataFrame, path: str, config: Settings = DEFAUL
     train, test = models.train_test_split(session_features(requests, config), 0.2, config.models.seed)
     detectors = fit_detectors(train, config)
     detectors.save(spark, path)
-    judged = materialize(eval_input(score(test, detectors, config)), "judged")  # read several times below
-    best = evaluation.optimal_threshold(judged, target_fpr).first()["threshold"]
-    report = evaluation.full_report(judged, best)
+    watched, watch = evaluation.observed(eval_input(score(test, detectors, config)))
+    judged = materialize(watched, "judged")
+    # the counts come from that write; only the areas and the classes read the scores again
+    grid = evaluation.observed_grid(spark, watch)
+    best = evaluation.best_of_grid(grid.filter(F.col("threshold").isin(*evaluation.THRESHOLDS)), target_fpr).first()["threshold"]
+    report = evaluation.full_report(judged, best, grid.filter(F.col("threshold") == best))
     report.write.mode("overwrite").json(f"{path}/report")
     evaluation.per_class_metrics(judged, best).write.mode("overwrite").json(f"{path}/report_per_class")
     return spark.read.json(f"{path}/report")
