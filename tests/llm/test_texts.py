@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from check import rows_of
-from trafficlens.llm import bpe, catalog, mixing, warc
-from trafficlens.operators.skew import new_path
+from trafficlens.llm import bpe, catalog, hot, mixing, warc
+from trafficlens.operators.skew import materialize, new_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -157,6 +157,27 @@ def test_last_record_ends_in_line_breaks(spark, html):
     assert [tuple(r)[:4] for r in warc.archive_pages(pages).collect()] == [(1, len(html), digest, "response")]
 
 
+def test_one_payload_that_most_pages_share(spark):
+    """The group is joined on the map side, in writing and in reading; every page comes out as it would from a plain join."""
+    html = lambda i: "" if i % 10 else f"page {i % 70}"
+    pages = spark.createDataFrame([(i, "u", html(i)) for i in range(3000, 0, -1)], "page_id bigint, url string, html string").repartition(6)
+    found = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.archive_pages(pages).collect()}
+    first = {}
+    for i in range(1, 3001):
+        first.setdefault(html(i), i)
+    assert found == {i: ("response", None, len(html(i))) if first[html(i)] == i else ("revisit", first[html(i)], len(html(i))) for i in range(1, 3001)}
+
+
+@pytest.mark.parametrize("share", [2.0, 1 / 256, 0.0])
+def test_joins_of_repeated_keys(spark, monkeypatch, share):
+    """Whatever counts as hot, a join gives the rows of a plain left join."""
+    monkeypatch.setattr(hot, "HOT_SHARE", share)
+    rows = spark.createDataFrame([(k, None if k % 11 == 0 else "big" if k % 3 else f"s{k % 40}") for k in range(500)], "i bigint, k string")
+    table = materialize(rows.filter("k is not null and k <> 's9'").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("low")), "test-counted")
+    found = hot.join_counted(rows, table, "k", "c").select("i", "k", "low").collect()
+    assert sorted(map(str, found)) == sorted(map(str, rows.join(table, "k", "left").select("i", "k", "low").collect()))
+
+
 def test_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 

@@ -80,6 +80,16 @@ def test_edges_of_trained_operators(spark, odd, odd_labels):
         assert found.count() == 0, found.columns
 
 
+def test_languages_whose_texts_are_all_long(spark):
+    """No labelled text is left out for its length: profiles and predictions equal loops over all n-grams."""
+    words = {"en": "the house and the garden were there with this other".split(), "de": "das haus und der garten waren dort mit dieser anderen".split()}
+    rows = [(i, " ".join(words[lang][(i * 7 + k * k) % 10] for k in range(12_000)), lang) for i, lang in enumerate(["en", "de"] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert min(len(t) for _, t, _ in rows) > 50_000
+    assert set(language.profiles(docs)) == {"en", "de"}
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] for r in language.languages(docs).collect())
+
+
 def test_isotonic_fit():
     x, y = calibration.isotonic([3, 1, 2, 4], [10, 10, 10, 10], [2, 4, 1, 9], prior=0)
     assert list(x) == [2.0, 4.0] and np.allclose(y, [7 / 30, 0.9])

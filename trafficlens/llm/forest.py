@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
+from trafficlens.llm.hot import join_counted
 from trafficlens.llm.text import row_key, whole
-from trafficlens.operators.skew import materialize
+from trafficlens.operators.skew import materialize, scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,8 +44,6 @@ TINY = 8
 SALTS = 16
 # shingles in a block of a crowded region, on average
 BLOCK = 60_000
-# nodes with more than this share of all rows are joined on the map side: fewer than its inverse
-HOT_SHARE = 1 / 256
 # distinct words that a task remembers, and shingles that are hashed at once
 REMEMBERED, AT_ONCE = 100_000, 1024
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -310,8 +309,13 @@ class Classes:
 
 
 def classes(docs: DataFrame, like: Likeness) -> Classes:
-    rows = sketched(docs, like)
-    nodes = materialize(rows.groupBy("node").agg(F.min(row_order()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("pool").alias("pool")), "nodes")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(sketched(docs, like))
+        nodes = materialize(rows.groupBy("node").agg(F.min(row_order()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("pool").alias("pool")), "nodes")
+        return Classes(rows.drop("pool"), keep(_classified(docs, nodes, like)))
+
+
+def _classified(docs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
     pairs, crowded = candidates(ordered_neighbours(nodes, like), like)
     # one row of every text that is to be compared; the others never move
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(crowded.select("node")).distinct()
@@ -323,17 +327,7 @@ def classes(docs: DataFrame, like: Likeness) -> Classes:
     above = more.select(F.col("node").alias("root"), F.col("root").alias("_top"))
     named = nodes.drop("pool").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(above, "root", "left").select("node", "first", "copies", "n", F.coalesce("_top", "root").alias("root"))
-    return Classes(rows.drop("pool"), materialize(named, "classes"))
-
-
-def with_class(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows joined with (node, copies, ...) on the node. Nodes with very many rows are few and are joined on the map side."""
-    total = named.agg(F.sum("copies")).first()[0] or 0
-    heavy = materialize(named.filter(F.col("copies") > max(1, total * HOT_SHARE)), "heavy")
-    # at most 1 / HOT_SHARE rows
-    small = F.broadcast(heavy)
-    light = rows.join(F.broadcast(heavy.select("node")), "node", "left_anti").join(named.join(F.broadcast(heavy.select("node")), "node", "left_anti"), "node")
-    return rows.join(small, "node").unionByName(light)
+    return materialize(named, "classes")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, least: tuple[int, int] = (17, 20)) -> DataFrame:
@@ -348,6 +342,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, least: tuple[int, int] = (1
     # components may hold very many nodes: most are single, and those need no join
     named = found.nodes.select("node", "copies", "root").join(firsts, "root").select("node", "copies", "_least")
     rows = found.rows.select("doc_id", "node", "n")
-    linked = with_class(rows.filter("n > 0"), materialize(named, "named")).select("doc_id", "n", F.col("_least").alias("component_id"))
+    linked = join_counted(rows.filter("n > 0"), materialize(named, "named"), "node", "copies").select("doc_id", "n", F.col("_least").alias("component_id"))
     every = linked.unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

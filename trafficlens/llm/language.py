@@ -23,8 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FOLDS, HELD_OUT = 5, 0
 TOP = 300
-# bound of the sample that a profile is made from; longer texts are not taken
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 50_000
+# bound of the sample that a profile is made from: rows of each language
+SAMPLE_ROWS = 500
 UNDETERMINED = "und"
 # stands for everything between words; not 0, so that a blank before a letter counts in the code of an n-gram
 BLANK = 1
@@ -71,12 +71,17 @@ def profiles(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.nd
     """Per language its n-grams, the most frequent first.
 
     Made from at most `sample_rows` texts of each language, in the order of the MD5 of the id; each text gives its
-    ranking, and rankings are added up, so a long text weighs no more than a short one.
+    ranking, and rankings are added up, so a long text weighs no more than a short one. Texts count whole, however long.
     """
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    name = F.md5(F.col("doc_id").cast("string").cast("binary"))
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)
-                        & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS)).select("doc_id", "lang", "text")
-    sample = materialize(known.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_rows)
+                        & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    named = known.select("doc_id", "lang", name.alias("_md5"))
+    # one row per language; the first eight digits then leave about four times the rows wanted, so that only those meet in the window
+    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    thinned = (named.join(sizes, "lang").filter(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("double") <= F.lit(4.0 * 2**32) * sample_rows / F.col("_rows")))
+    order = Window.partitionBy("lang").orderBy("_md5", "doc_id")
+    sample = materialize(thinned.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_rows)
                          .select("doc_id", "lang").distinct(), "sample")
     texts = known.join(sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
     counted = texts.mapInArrow(_counted, "lang string, gram bigint, points bigint").groupBy("lang", "gram").agg(F.sum("points").alias("points"))

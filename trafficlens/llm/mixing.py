@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.text import WORD, row_key, whole
-from trafficlens.operators.skew import materialize
+from trafficlens.operators.skew import materialize, scratch
 
 WEIGHTS = (5, 2, 1)
 # change of a source's weight from start to end, as a share of its mean: heavy sources fade, light ones grow
@@ -135,14 +135,15 @@ def mixed(docs: DataFrame, limit: int = LIMIT, position: str | None = None, **op
     Null texts have no words; texts without words are taken once, when due. A null source is a source of its own, the last.
     Rows that repeat are taken each on its own; an empty table gives an empty table.
     """
-    found = placed(sized(docs, *row_key(F.col("doc_id"), whole("text"))), limit, **options)
-    start = F.col("_start")
-    copies = [F.when((_taken(k) * 2 >= F.col("size")) & ((F.col("size") > 0) | (k == 0)),
-                     F.struct(due(k * F.col("source_size") + start, F.col("target"), F.col("tilt")).alias("m"))) for k in range(limit)]
     # rows that repeat stand beside each other in any order
     same = F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id"))
-    moments = found.select("_id", "_text", same.alias("_k"), F.filter(F.array(*copies), lambda c: c.isNotNull()).alias("_due"))
-    moments = materialize(moments.filter(F.size("_due") > 0), "moments")
+    with scratch(docs.sparkSession) as keep:
+        found = placed(sized(docs, *row_key(F.col("doc_id"), whole("text"))), limit, **options)
+        start = F.col("_start")
+        copies = [F.when((_taken(k) * 2 >= F.col("size")) & ((F.col("size") > 0) | (k == 0)),
+                         F.struct(due(k * F.col("source_size") + start, F.col("target"), F.col("tilt")).alias("m"))) for k in range(limit)]
+        moments = found.select("_id", "_text", same.alias("_k"), F.filter(F.array(*copies), lambda c: c.isNotNull()).alias("_due"))
+        moments = keep(materialize(moments.filter(F.size("_due") > 0), "moments"))
     # whole rows travel as one column, so that no name of theirs clashes
     rows = docs.select(F.struct("*").alias("_row"), *row_key(F.col("doc_id"), whole("text"))).withColumn("_k", same)
     chosen = rows.join(moments, ["_id", "_text", "_k"]).select("_row", "_id", F.explode("_due").alias("_due"))

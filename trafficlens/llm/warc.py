@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.hot import join_counted
 from trafficlens.llm.text import row_key, whole
 from trafficlens.operators.skew import materialize, new_path
 
@@ -59,8 +60,9 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     headers = materialize(pages.select("page_id", *row_key(F.col("page_id"), html), F.octet_length(html).alias("_bytes"),
                                        base32_sha1(html).alias("digest")).distinct(), "headers")
     large = headers.filter(F.col("_bytes") >= min_bytes)
+    # payloads that very many pages share (empty ones) are joined on the map side
     originals = large.groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
-    found = headers.join(originals.select("digest", "_first"), "digest", "left")
+    found = join_counted(headers, materialize(originals, "originals"), "digest", "_rows")
     revisits = (F.col("_bytes") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return found.select("_id", "_text", "digest", F.when(revisits, F.col("_first")).alias("_original"))
 
@@ -151,9 +153,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to; revisits take
     size and page from the response that they refer to."""
     headers = materialize(read_headers(spark, path), "warc-headers")
-    responses = (headers.filter("record_type = 'response'").groupBy("record_id")
-                 .agg(F.min("page_id").alias("_page"), F.min("payload_bytes").alias("_bytes")))
-    found = headers.join(responses.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
+    # only revisits look for a response; a response that very many refer to is joined on the map side
+    is_response = F.col("record_type") == "response"
+    revisits = headers.filter(~is_response)
+    asked = revisits.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("_rows"))
+    responses = (headers.filter(is_response).groupBy(F.col("record_id").alias("refers_to_id"))
+                 .agg(F.min("page_id").alias("_page"), F.min("payload_bytes").alias("_bytes")).join(asked, "refers_to_id"))
+    named = join_counted(revisits, materialize(responses, "responses"), "refers_to_id", "_rows")
+    own = headers.filter(is_response).withColumns({"_page": F.lit(None).cast("bigint"), "_bytes": F.lit(None).cast("bigint")})
+    found = own.unionByName(named)
     return found.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type",
                         F.col("_page").alias("refers_to"), "target_uri")
 
@@ -163,7 +171,8 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
 
     Null html is an empty payload; a null url is left out of the header. Of equal payloads the smallest page_id
     is the response; pages with a null id revisit it, and are responses if no page of the group has an id. Rows that
-    repeat the smallest id and its payload are all responses, under one record id. Other columns are ignored.
+    repeat the smallest id and its payload are all responses, under one record id. Payloads count whole, however long; an empty
+    table gives no archive record and an empty table. Other columns are ignored.
     """
     path = path or new_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_bytes)
