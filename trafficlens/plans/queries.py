@@ -74,11 +74,12 @@ def nested_sessions(spark: SparkSession, folder: str) -> DataFrame:
 def _text_folder(spark: SparkSession, folder: str, body: bool = False) -> str:
     """The request log rendered as the three labelled text files, in the shared folder."""
     rows = requests(spark, folder)
-    rendered = http_text.render_blocks(rows)
+    rendered = http_text.render_blocks(rows)  # stored once below: three files are written from it
     if body:
         # a blank line before the body makes it a block of its own
         text = F.when(F.col("method") == "POST", F.concat("block", F.lit("\nX-Id: "), "request_id", F.lit("\n\nid="), "request_id"))
         rendered = rendered.withColumn("block", text.otherwise(F.concat("block", F.lit("\nX-Id: "), "request_id")))
+    rendered = materialize(rendered.select("block", "label", "method"), "rendered")
     out = new_path(spark, "http-text")
     settings = http_text.DEFAULT.http_text
     parts = {settings.normal_train_file: "label = 0 and method = 'GET'",
@@ -125,19 +126,15 @@ def attach_body(spark: SparkSession, folder: str) -> DataFrame:
 
 def pseudo_sessions(spark: SparkSession, folder: str) -> DataFrame:
     rows = requests(spark, folder).select("request_id", "label", "user_agent")
-    parts = []
-    for label, gap, std, prefix, seed in ((0, 2000.0, 800.0, "10.1", 42), (1, 500.0, 100.0, "10.2", 43)):
-        numbered = number_rows(rows.filter(F.col("label") == label), [F.col("request_id")])
-        parts.append(http_text.pseudo_sessions(numbered, 20, gap, std, prefix, seed))
-    return parts[0].unionByName(parts[1]).select(
+    found = http_text.labelled_sessions(http_text.numbered_by_label(rows, [F.col("request_id")]), 20, 42)
+    return found.select(
         "session_id", "ip", "row_no", "position", "label", "traffic_class", "session_agent",
         F.col("start_time_ms").cast("bigint").alias("start_time_ms"), tidy(F.col("offset_ms"), 3).alias("offset_ms"))
 
 
 def cap_requests(spark: SparkSession, folder: str) -> DataFrame:
-    rows = requests(spark, folder).select("request_id", "label")
-    parts = [http_text.cap_requests(number_rows(rows.filter(F.col("label") == x), [F.col("request_id")]), 50, 20)
-             for x in (0, 1)]
+    numbered = http_text.numbered_by_label(requests(spark, folder).select("request_id", "label"), [F.col("request_id")])
+    parts = [http_text.cap_requests(numbered.filter(F.col("label") == x), 50, 20) for x in (0, 1)]
     return parts[0].unionByName(parts[1]).select("label", "request_id", "row_no")
 
 
@@ -497,12 +494,11 @@ def scale_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _forest_scored(spark: SparkSession, folder: str) -> DataFrame:
-    fitted, test = _fit(spark, folder)
-    return models.with_forest(test, fitted.forest)
+    train, test = models.train_test_split(session_features(requests(spark, folder)))
+    return models.with_forest(test, models.fit_forest(train))
 
 
 def iforest(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out sessions: how many of the other label each one's score stands above or below, as it should."""
     return _forest_scored(spark, folder).select(
         "session_id", "label", *_in_range("isolation_score"),
         _flag(F.col("isolation_prediction") == (F.col("isolation_score") > 0.5).cast("int")).alias("prediction_fits"))

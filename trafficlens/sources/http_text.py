@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -213,6 +214,27 @@ def pseudo_sessions(numbered: DataFrame, session_size: int = 20, gap_ms: float =
             .drop("_gap", "_session"))
 
 
+# Per label mean and deviation of gaps in ms, prefix of the addresses, and what is added to the seed.
+SESSION_KINDS = {0: (2000.0, 800.0, "10.1", 0), 1: (500.0, 100.0, "10.2", 1)}
+
+
+def numbered_by_label(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Adds row_no, 1-based within each label, by one numbering of all rows."""
+    numbered = number_rows(rows, [F.col("label"), *order], "http")
+    # one row per label
+    firsts = numbered.groupBy("label").agg(F.min("row_no").alias("_first"))
+    return numbered.join(F.broadcast(firsts), "label").withColumn("row_no", F.col("row_no") - F.col("_first") + 1).drop("_first")
+
+
+def labelled_sessions(numbered: DataFrame, session_size: int, seed: int, caps: dict[int, int | None] | None = None) -> DataFrame:
+    """Pseudo-sessions of rows numbered by label, each label with its own kind of sessions."""
+    sides = []
+    for label, (gap, std, prefix, more) in SESSION_KINDS.items():
+        rows = cap_requests(numbered.filter(F.col("label") == label), (caps or {}).get(label), session_size)
+        sides.append(pseudo_sessions(rows, session_size, gap, std, prefix, seed + more))
+    return reduce(DataFrame.unionByName, sides)
+
+
 def load_sessions(spark: SparkSession, folder: str, config: Settings = DEFAULT,
                   max_normal: int | None = None, max_anomalous: int | None = None,
                   shuffle: bool = False) -> DataFrame:
@@ -223,13 +245,7 @@ def load_sessions(spark: SparkSession, folder: str, config: Settings = DEFAULT,
     if shuffle:
         # by content: the folder of the files plays no part
         order = [F.md5(F.concat_ws("|", "block_no", "method", "url", "user_agent", "body", F.lit(str(h.seed))).cast("binary")), *order]
-    sides = []
-    for label, cap, gap, std, prefix, seed in ((0, max_normal, 2000.0, 800.0, "10.1", h.seed),
-                                               (1, max_anomalous, 500.0, 100.0, "10.2", h.seed + 1)):
-        numbered = number_rows(loaded.filter(F.col("label") == label), order, "http")
-        sides.append(pseudo_sessions(cap_requests(numbered, cap, h.session_size), h.session_size,
-                                     gap, std, prefix, seed))
-    return reduce(DataFrame.unionByName, sides)
+    return labelled_sessions(numbered_by_label(loaded, order), h.session_size, h.seed, {0: max_normal, 1: max_anomalous})
 
 
 def render_blocks(requests: DataFrame) -> DataFrame:
