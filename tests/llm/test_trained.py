@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy, honest probabilities, cases at the edge."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -48,6 +49,66 @@ def test_toxicity_of_held_out_documents(tables):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - bad
 
 
+@pytest.fixture(scope="module")
+def dictionaries():
+    rng = random.Random(5)
+    clean = ["".join(rng.choice("aeiou") + rng.choice("bdklmnrst") for _ in range(rng.randrange(1, 4))) for _ in range(3_000)]
+    bad = ["wuffig", "zwickel", "quarzig", "flopsig"]
+    ordinary = [" ".join(rng.choices(clean, k=120)) for _ in range(400)]
+    toxic = [" ".join(rng.choices(clean, k=50) + rng.choices(bad, k=4) + rng.choices(clean, k=50)) for _ in range(200)]
+    return toxicity.train_dictionaries(ordinary, toxic), clean, bad
+
+
+def test_passage_in_texts_of_any_length(dictionaries):
+    """A toxic passage is far above clean text whether it stands alone or in 100,000 clean words, and a repeated line adds nothing."""
+    contents, clean, bad = dictionaries
+    windows = toxicity.Windows(*contents)
+    rng = random.Random(6)
+    passage = bad + rng.choices(clean, k=20)
+    for size in (0, 100, 1_000, 10_000, 100_000):
+        words = rng.choices(clean, k=size)
+        with_it = words[:size // 2] + passage + words[size // 2:]
+        assert windows.evidence(" ".join(with_it)) > windows.evidence(" ".join(words)) + 0.3, size
+    once = windows.evidence(" ".join(bad[:1] + clean[:70]))
+    assert windows.evidence(" ".join((bad[:1] + clean[:70]) * 30)) <= once
+
+
+def test_evidence_equals_a_loop_over_all_runs(dictionaries):
+    contents, clean, bad = dictionaries
+    windows = toxicity.Windows(*contents)
+    rng = random.Random(7)
+    for size in (0, 1, 63, 64, 65, 300, 1_100):
+        words = [w.encode() for w in rng.choices(clean + 200 * bad, k=size)]
+        best, run = 0.0, 64
+        runs = [len(words)]
+        while run < len(words):
+            runs.append(run)
+            run *= 4
+        for run in runs:
+            for start in range(len(words) - run + 1):
+                saved = sum(windows.saved(w) for w in {*words[start:start + run]})
+                best = max(best, saved / math.sqrt(run + 50))
+        best -= 0.02 * math.log2(max(1.0, len(words) / 64))
+        assert windows.evidence(b" ".join(words).decode()) == round(32 * max(0.0, best)) / 32
+
+
+def test_toxicity_when_all_labelled_texts_are_long(spark, dictionaries):
+    """No labelled text is left out of the fit for its length."""
+    _, clean, bad = dictionaries
+    rng = random.Random(8)
+    rows = []
+    for k in range(240):
+        words = rng.choices(clean, k=7_000)
+        if k % 2:
+            for place in range(0, 7_000, 50):
+                words[place:place + 2] = rng.choices(bad, k=2)
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert min(len(t) for _, t in rows) > toxicity.SAMPLE_CHARS
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(240)], LABELS)
+    assert area([{"score": r["score"], "toxic": r["doc_id"] % 2} for r in toxicity.toxicity(docs, labels).filter("held_out").collect()], "toxic") > 0.95
+
+
 def test_language_of_held_out_documents(tables):
     docs, _ = tables
     rows = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

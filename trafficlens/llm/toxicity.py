@@ -4,9 +4,11 @@ Two zstandard dictionaries are made from a bounded sample of labelled texts. Bot
 zstandard's trainer picks from ordinary text; each ends with the segments that set its class apart (word
 starts found in far more texts of that class than of the other). A window is a word between two fixed
 pieces that both dictionaries hold, so its length tells what the word costs; a window that is shorter
-with the toxic dictionary than with the ordinary one is evidence. The bytes saved over all windows of a
-text, beside the square root of their number, are its evidence, and isotonic calibration on other labelled rows
-turns that into a probability. Words repeat, so a task works out each distinct window once.
+with the toxic dictionary than with the ordinary one is evidence. Runs of 64, 256, 1,024 ... words and the whole text
+are weighed by the bytes that their distinct words save, beside the square root of the run's length; the heaviest run
+counts, less what chance adds as a text grows, so a passage weighs nearly the same in a short and in a long text and a repeated
+line weighs no more than one. Isotonic calibration on other labelled rows turns that into a probability.
+Words repeat, so a task works out each distinct window once.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
-# bound of the sample that the dictionaries are made from: rows of each class; longer texts are not taken
+# bound of the sample that the dictionaries are made from: rows of each class, and code points of a row; of a longer
+# text a piece of that size is taken, from a place that the hash of the id names
 SAMPLE_ROWS = {1: 3_000, 0: 6_000}
 SAMPLE_CHARS = 20_000
 BASE_BYTES, CONTRAST_BYTES = 24_000, 4_000
@@ -42,8 +45,10 @@ SEGMENT = (5, 12)
 # zstandard indexes no segment at the very end of a dictionary, and a repeated one surely
 REPEATS = 3
 LEVEL = 5
-# bytes that a word saves by chance; words that are added to those of every text
+# bytes that a word saves by chance; words that are added to those of every run
 NOISE, SMOOTH = 1, 50
+# words of the shortest run, and what the heaviest of twice as many runs weighs more by chance
+RUN, GROWTH = 64, 0.02
 # steps of the evidence that calibration tells apart
 STEPS = 32
 # pairs of pieces that are tried around the words, and texts of each class that they are tried on
@@ -152,7 +157,32 @@ class Windows:
 
     def evidence(self, text: str) -> float:
         words = text.lower().encode().split()
-        return round(STEPS * sum(map(self.saved, words)) / math.sqrt(len(words) + SMOOTH)) / STEPS
+        hits = [(place, word, gain) for place, (word, gain) in enumerate(zip(words, map(self.saved, words))) if gain]
+        if not hits:
+            return 0.0
+        size, best = RUN, 0.0
+        while size < len(words):
+            best = max(best, heaviest(hits, size) / math.sqrt(size + SMOOTH))
+            size *= 4
+        best = max(best, heaviest(hits, len(words)) / math.sqrt(len(words) + SMOOTH))
+        best -= GROWTH * math.log2(max(1.0, len(words) / RUN))
+        return round(STEPS * max(0.0, best)) / STEPS
+
+
+def heaviest(hits: list[tuple[int, bytes, int]], size: int) -> int:
+    """Most that the distinct words of a run of so many words save; hits: place, word, bytes saved, by place."""
+    inside: Counter = Counter()
+    total = best = first = 0
+    for place, word, gain in hits:
+        while hits[first][0] <= place - size:
+            _, left, less = hits[first]
+            inside[left] -= 1
+            total -= 0 if inside[left] else less
+            first += 1
+        total += 0 if inside[word] else gain
+        inside[word] += 1
+        best = max(best, total)
+    return best
 
 
 def _best_frame(contents: tuple[bytes, bytes], ordinary: list[str], toxic: list[str]) -> int:
@@ -212,8 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, int]:
               .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max(SAMPLE_ROWS.values()))
               .filter(F.col("_r") <= bound).select("doc_id", "label"))
     # at most the sum of SAMPLE_ROWS
-    texts = (docs.select("doc_id", whole("text").alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
-             .join(F.broadcast(sample), "doc_id").select("label", "text"))
+    start = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1)))
+    texts = (docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(sample), "doc_id")
+             .select("label", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")))
     # the sample may hold ids that repeat in the documents; their rows are few
     found = texts.repartition(1).mapInArrow(_trained, "ordinary binary, toxic binary, frame int").first()
     return (b"", b"", 0) if found is None else (bytes(found[0]), bytes(found[1]), found[2])
@@ -231,8 +262,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Labels are learned from rows with crc32(doc_id as text) mod 4 other than 2. Null texts count as empty; texts
-    without words have no evidence, and the score of that. Rows that repeat an id are scored on their own.
-    Without labels every score is 0.5. Other columns are ignored.
+    without words have no evidence, and the score of that. Texts of any length are weighed whole. Rows that repeat an id
+    are scored on their own. Without labels every score is 0.5; an empty table gives none. Other columns are ignored.
     """
     rows = measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text")), fit(docs, labels), ["doc_id"], "_evidence")
     scored = with_probability(rows, "_evidence", _points(rows, labels), "score")
