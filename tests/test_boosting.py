@@ -132,3 +132,23 @@ def test_stored_trees_are_the_same(spark):
     boosting.save(spark, model, path)
     assert same(model, boosting.load(spark, path)) and boosting.load(spark, path).names == NAMES
     assert boosting.first_trees(model, 2).feature.shape[0] == 2
+
+
+def test_sums_stay_in_tasks(spark, monkeypatch):
+    """One partition or many, by the sessions: the same trees, and only a few numbers of each node reach the driver."""
+    df, sent = frame(spark, rows(600, 1)).repartition(40), []
+    whole = boosting._level_cuts
+
+    def seen(sums, level, rate):
+        found = whole(sums, level, rate)
+        sent.append((sums.getNumPartitions(), level, found))
+        return found
+
+    monkeypatch.setattr(boosting, "_level_cuts", seen)
+    model = boosting.fit(df, NAMES, SMALL)
+    assert {parts for parts, _, _ in sent} == {1}
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(boosting, "PART_ROWS", 100)
+    sent.clear()
+    assert same(model, boosting.fit(df, NAMES, SMALL)) and max(parts for parts, _, _ in sent) > 3
+    assert all(len(found) <= len(NAMES) << level and all(isinstance(v, (int, float)) for row in found for v in row) for _, level, found in sent)

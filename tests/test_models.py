@@ -193,3 +193,11 @@ def test_train_and_evaluate(spark):
     assert report["recall"] > 0.8 and report["fpr"] <= 0.01 and report["auroc"] > 0.9
     written = [f for f in os.listdir(f"{out}/report") if f.endswith(".json")]
     assert json.loads(open(f"{out}/report/{written[0]}").read())["tp"] == report["tp"]
+
+
+def test_a_cut_between_neighbouring_numbers_leaves_rows_on_both_sides():
+    low = 0.1
+    points = np.array([[low], [np.nextafter(low, 1.0)]])
+    for seed in range(50):
+        nodes = models.grow_tree(points, np.random.default_rng(seed))
+        assert len(nodes) == 3 and nodes[0][2] == low

@@ -2,8 +2,9 @@
 
 Features are cut once at quantiles into at most BINS bins, so a session becomes a row of bytes. Sessions are
 packed into blocks; a level of a tree is one pass over them, which sums gradients by (node, feature, bin) in
-every task, adds the sums up in a tree of tasks, and leaves the driver a table whose size depends on the depth
-only. The best cuts are looked for on those sums, and go back to the tasks as a few numbers.
+every task. The sums of a feature are added up in one task, which looks for its best cut of every node; the driver sees
+those few numbers only, never sums, and sends the best cut of all features back. How many partitions there are follows from
+the sessions, not from the files: one of at most PART_ROWS needs no shuffle at all.
 
 Gradients are whole multiples of 2^-SCALE_BITS, so sums are exact: the trees depend neither on how rows are
 partitioned nor on the order of additions. Margins are kept beside the blocks; every CHECKPOINT_TREES trees they
@@ -13,7 +14,7 @@ are written to the shared folder, which bounds what a lost executor has to repea
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -33,6 +34,10 @@ SCALE_BITS = 30
 # added to the curvature of a leaf, and least gain of a cut
 SMOOTH, LEAST_GAIN = 1.0, 1e-9
 BLOCK_ROWS = 65_536
+# sessions of a partition, about: each sends one table of sums per level if there are several
+PART_ROWS = 262_144
+# tasks that add up the sums of features
+MOST_REDUCERS = 16
 CHECKPOINT_TREES = 50
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, value double, gain double"
 
@@ -94,9 +99,22 @@ def _packed(edges: list[np.ndarray]):
     return run
 
 
-def _block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    y = np.frombuffer(row["y"], np.uint8)
-    return np.frombuffer(row["x"], np.uint8).reshape(len(y), -1), y, np.frombuffer(row["key"], np.uint64)
+def _joined(rows: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of a partition, small ones put together: a batch of a thin file may hold a few rows only."""
+    held, size = [], 0
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, key = (b"".join(r[n] for r in held) for n in ("x", "y", "key"))
+        return np.frombuffer(x, np.uint8).reshape(len(y), -1), np.frombuffer(y, np.uint8), np.frombuffer(key, np.uint64)
+
+    for row in rows:
+        if held and size + len(row["y"]) > BLOCK_ROWS:
+            yield block()
+            held, size = [], 0
+        held.append(row)
+        size += len(row["y"])
+    if held:
+        yield block()
 
 
 def _drawn(key: np.ndarray, tree: int, share: float) -> np.ndarray:
@@ -149,49 +167,69 @@ def level_sums(x: np.ndarray, y: np.ndarray, margin: np.ndarray, drawn: np.ndarr
     return np.stack([*sums, np.bincount(cell, minlength=size)]).astype(np.int64).reshape(3, width, features, BINS)
 
 
-def with_best_cuts(cuts: Cuts, sums: np.ndarray, level: int, rate: float) -> Cuts:
-    """The tree one level deeper: of every node the cut with the largest gain, if any gains."""
-    feature, last, value, gain = (a.copy() for a in (cuts.feature, cuts.last, cuts.value, cuts.gain))
+def feature_cuts(feature: int, sums: np.ndarray, level: int, rate: float) -> list[tuple]:
+    """The best cut of one feature for every node of the level that has rows: (node, gain, feature, last bin, values of
+    the node and of its children). Without a cut that gains, the gain is 0."""
     scale = float(1 << SCALE_BITS)
 
     def score(g: np.ndarray, h: np.ndarray) -> np.ndarray:
         return g * g / (h + SMOOTH)
 
-    first = (1 << level) - 1
-    g, h, n = sums[0] / scale, sums[1] / scale, sums[2]
-    whole_g, whole_h, whole_n = (a[:, 0].sum(-1) for a in (g, h, n))
-    left_g, left_h, left_n = (np.cumsum(a, axis=-1) for a in (g, h, n))
-    right_g, right_h = whole_g[:, None, None] - left_g, whole_h[:, None, None] - left_h
-    gains = score(left_g, left_h) + score(right_g, right_h) - score(whole_g, whole_h)[:, None, None]
-    gains[(left_n == 0) | (left_n == whole_n[:, None, None])] = -np.inf
-    for k in range(len(gains)):
+    def value(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return rate * g / (h + SMOOTH)
+
+    left_g, left_h, left_n = np.cumsum(sums, axis=-1)
+    whole_g, whole_h, whole_n = (a[:, -1:] for a in (left_g, left_h, left_n))
+    right_g, right_h = (whole_g - left_g) / scale, (whole_h - left_h) / scale
+    left_g, left_h, whole_g, whole_h = (a / scale for a in (left_g, left_h, whole_g, whole_h))
+    gains = score(left_g, left_h) + score(right_g, right_h) - score(whole_g, whole_h)
+    gains[(left_n == 0) | (left_n == whole_n)] = -np.inf
+    found, at = [], gains.argmax(axis=1)
+    for k in np.flatnonzero(whole_n[:, 0]).tolist():
+        b = int(at[k])
+        gain = float(gains[k, b])
+        values = [float(value(g[k, c], h[k, c])) for g, h, c in ((whole_g, whole_h, 0), (left_g, left_h, b), (right_g, right_h, b))]
+        found.append(((1 << level) - 1 + k, gain if gain > LEAST_GAIN else 0.0, feature, b, *values))
+    return found
+
+
+def best_cuts(found: Iterable[tuple]) -> list[tuple]:
+    """Of every node the cut with the largest gain, of equal ones that of the first feature."""
+    best: dict[int, tuple] = {}
+    for cut in found:
+        if cut[0] not in best or (-cut[1], cut[2]) < (-best[cut[0]][1], best[cut[0]][2]):
+            best[cut[0]] = cut
+    return list(best.values())
+
+
+def with_cuts(cuts: Cuts, found: Iterable[tuple], level: int) -> Cuts:
+    """The tree one level deeper."""
+    feature, last, value, gain = (a.copy() for a in (cuts.feature, cuts.last, cuts.value, cuts.gain))
+    for at, gained, f, b, own, left, right in best_cuts(found):
         if level == 0:
-            value[0] = rate * whole_g[0] / (whole_h[0] + SMOOTH)
-        flat = int(gains[k].argmax())
-        f, b = divmod(flat, BINS)
-        if not whole_n[k] or not gains[k, f, b] > LEAST_GAIN:
-            continue
-        at = first + k
-        feature[at], last[at], gain[at] = f, b, gains[k, f, b]
-        for child, cg, ch in ((2 * at + 1, left_g, left_h), (2 * at + 2, right_g, right_h)):
-            value[child] = rate * cg[k, f, b] / (ch[k, f, b] + SMOOTH)
+            value[0] = own
+        if gained:
+            feature[at], last[at], gain[at] = f, b, gained
+            value[2 * at + 1], value[2 * at + 2] = left, right
     return Cuts(feature, last, value, gain)
 
 
-def _added(sums: RDD) -> np.ndarray:
-    """Sums of all blocks. Few partial tables come to the driver; of more, groups are added up in tasks first."""
-    parts = sums.getNumPartitions()
-    if parts > 16:
-        return sums.treeReduce(np.add, 3 if parts > 1000 else 2)
-    found = sums.mapPartitions(_added_up).collect()
-    return sum(found[1:], found[0])
+def _level_cuts(sums: RDD, level: int, rate: float) -> list[tuple]:
+    """Best cuts of the nodes of a level, a few numbers from every task."""
+    def looked(rows: Iterator[tuple[int, np.ndarray]]) -> list[tuple]:
+        return best_cuts(cut for f, table in rows for cut in feature_cuts(f, table, level, rate))
 
+    def features(rows: Iterator[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        total = None
+        for row in rows:
+            total = row if total is None else total + row
+        return iter(()) if total is None else ((f, np.ascontiguousarray(total[:, :, f])) for f in range(total.shape[2]))
 
-def _added_up(rows: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
-    total = None
-    for row in rows:
-        total = row if total is None else total + row
-    return iter(() if total is None else (total,))
+    parts = sums.getNumPartitions()
+    tables = sums.mapPartitions(features)
+    if parts > 1:
+        tables = tables.reduceByKey(np.add, min(parts, MOST_REDUCERS))
+    return tables.mapPartitions(looked).collect()
 
 
 def fit(train: DataFrame, names: Sequence[str], m: ModelSettings, label: str = "label", key: str = "session_id") -> BoostedModel:
@@ -202,8 +240,8 @@ def fit(train: DataFrame, names: Sequence[str], m: ModelSettings, label: str = "
     edges = bin_edges(train, names)
     rows = train.select(F.array(*[F.col(n).cast("double") for n in names]).alias("x"), F.col(label).cast("int").alias("y"), F.xxhash64(key, F.lit(m.seed)).alias("key"))
     blocks = materialize(rows.mapInArrow(_packed(edges), "x binary, y binary, key binary"), "blocks")
-    parts = max(1, blocks.count() // 4)
-    stored = blocks.coalesce(parts).rdd.map(_block).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = -(-(blocks.agg(F.sum(F.octet_length("y"))).first()[0] or 0) // PART_ROWS) or 1
+    stored = blocks.coalesce(parts).rdd.mapPartitions(_joined).persist(StorageLevel.MEMORY_AND_DISK)
     total, hits = stored.map(lambda b: (len(b[1]), int(b[1].sum()))).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
     if not total:
         raise ValueError("no sessions to fit on")
@@ -216,8 +254,8 @@ def fit(train: DataFrame, names: Sequence[str], m: ModelSettings, label: str = "
     for tree in range(m.boost_trees):
         cuts = Cuts.empty(depth)
         for level in range(depth):
-            sums = _added(state.map(lambda b, c=cuts, t=tree, k=level, s=m.boost_subsample: level_sums(b[0], b[1], b[3], _drawn(b[2], t, s), c, k)))
-            deeper = with_best_cuts(cuts, sums, level, m.boost_rate)
+            sums = state.map(lambda b, c=cuts, t=tree, k=level, s=m.boost_subsample: level_sums(b[0], b[1], b[3], _drawn(b[2], t, s), c, k))
+            deeper = with_cuts(cuts, _level_cuts(sums, level, m.boost_rate), level)
             if (deeper.feature == cuts.feature).all():
                 cuts = deeper
                 break

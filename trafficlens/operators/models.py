@@ -143,6 +143,8 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
             continue
         feature = int(rng.choice(open_features))
         cut = float(rng.uniform(low[feature], high[feature]))
+        # between two neighbouring numbers the draw may round up to the higher one, which would leave no row on the right
+        cut = cut if cut < high[feature] else float(low[feature])
         goes_left = points[rows, feature] <= cut
         left, right = len(nodes), len(nodes) + 1
         nodes += [(), ()]
