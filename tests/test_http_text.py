@@ -144,3 +144,25 @@ def test_attack_types(spark, text, kind):
 def test_breakdown_is_sorted(spark):
     rows = spark.createDataFrame([("/a", ""), ("/b", None), ("/c", "x=<script>")], "url string, body string")
     assert [tuple(r) for r in http_text.attack_breakdown(rows).collect()] == [("other_anomaly", 2), ("xss", 1)]
+
+
+def test_pieces_do_not_depend_on_batches():
+    """Runs of lines with text in every split, against a loop; splits of blanks, runs at both ends, batches of any size."""
+    import pyarrow as pa
+    rows = [(f, s, f"{f}{s}.{k}" if c == "x" else " ", c == "x") for f, s, lines in
+            (("a", 0, "xx.x"), ("a", 9, "xxxx"), ("a", 20, "..."), ("a", 30, ".x..xx"), ("b", 30, "x"), ("b", 40, "x.x.")) for k, c in enumerate(lines)]
+    want, split, seen = [], None, 0
+    for k, (f, s, line, text) in enumerate(rows):
+        entered, (split, seen) = (f, s) != split, ((f, s), 0 if (f, s) != split else seen)
+        if text and (entered or not rows[k - 1][3]):
+            seen += not entered
+            want.append([f, s, seen, [line]])
+        elif text:
+            want[-1][3].append(line)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(4)], ["file", "split_start", "line", "text"])
+    for size in (1, 2, 3, 5, len(rows)):
+        found = [r for b in http_text._pieces(iter([batch.slice(k, size) for k in range(0, len(rows), size)])) for r in b.to_pylist()]
+        assert [[r["file"], r["split_start"], r["seen"], r["block"].split("\n")] for r in found if r["block"]] == want
+        ends = {(r["file"], r["split_start"]): (r["seen"], r["lead"], r["tail"]) for r in found if r["block"] is None}
+        assert ends == {("a", 0): (1, True, True), ("a", 9): (0, True, True), ("a", 20): (0, False, False), ("a", 30): (2, False, True), ("b", 30): (0, True, True), ("b", 40): (1, True, False)}
+        assert {r["block"] for r in found if r["block"] and (r["ends"] or r["lead"])} == {"a0.0\na0.1", "a0.3", "a9.0\na9.1\na9.2\na9.3", "a30.4\na30.5", "b30.0", "b40.0"}

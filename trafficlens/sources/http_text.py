@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.config import DEFAULT, Settings
 from trafficlens.functions.columns import attack_type, fold_case
-from trafficlens.operators.skew import number_rows
+from trafficlens.operators.skew import materialize, number_rows
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Accepted methods, api path parts, statuses of attack requests, agent when none is sent.
 METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH")
@@ -27,34 +34,108 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+PIECES = "file string, split_start bigint, seen bigint, ends boolean, lead boolean, tail boolean, block string"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, split_start, line, text) in file order to the runs of lines with text in every split.
+
+    `seen` counts the begins in the split up to the run; a run at the first line of its split has begun before (0).
+    After the runs of a split comes one row without block: its begins, and whether its first and last line have text.
+    """
+    # rows of the run that is still open, and what is known of its split
+    held: list[pa.RecordBatch] = []
+    split, seen, lead, text_before = None, 0, False, False
+
+    def flushed() -> list[tuple]:
+        return [] if split is None else [(*split, seen, True, lead, text_before, None)]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and batch.column(3).false_count == 0 and pc.all(pc.and_(pc.equal(batch.column(0), split[0]), pc.equal(batch.column(1), split[1]))).as_py():
+            # all of it goes on with the open run
+            held.append(batch)
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch
+        skipped, held = len(rows) - len(batch), []
+        file, start = rows.column(0), rows.column(1).to_numpy()
+        text = rows.column(3).to_numpy(zero_copy_only=False).astype(bool)
+        n = len(rows)
+        enters = np.ones(n, bool)
+        enters[1:] = (start[1:] != start[:-1]) | pc.not_equal(file.slice(1), file.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        opens = text & (enters | ~np.append(False, text[:-1]))
+        closes = text & np.append(enters[1:] | ~text[1:], True)
+        # a run that goes on from the batch before was counted there
+        enters[0] = not skipped and (file[0].as_py(), int(start[0])) != split
+        lines, found = rows.column(2), []
+        firsts, lasts = np.flatnonzero(opens), np.flatnonzero(closes)
+        at = np.flatnonzero(enters)
+        runs = iter(zip(firsts.tolist(), lasts.tolist()))
+        run = next(runs, None)
+        for k, until in zip([0, *at[at > 0].tolist()], [*at[at > 0].tolist(), n]):
+            if enters[k]:
+                found += flushed()
+                split, seen, lead, text_before = (file[k].as_py(), int(start[k])), 0, bool(text[k]), False
+            while run is not None and run[0] < until:
+                first, last = run
+                new = not (first == 0 and skipped)
+                if new and not (first == k and enters[k]):
+                    seen += 1
+                if last == n - 1:
+                    # more of it may follow
+                    held = [rows.slice(first)]
+                else:
+                    found.append((*split, seen, last == until - 1, seen == 0, False, (first, last)))
+                run = next(runs, None)
+            text_before = bool(text[until - 1])
+        if found:
+            yield _piece_rows(found, lines)
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _piece_rows([(*split, seen, True, seen == 0, False, (0, len(rows) - 1))], rows.column(2))
+    if split is not None:
+        yield _piece_rows(flushed(), pa.array([], pa.string()))
+
+
+def _piece_rows(found: list[tuple], lines: pa.Array) -> pa.RecordBatch:
+    """Rows of PIECES; the last of each tuple are the first and the last of its lines, or None."""
+    spans = [f[-1] or (0, -1) for f in found]
+    sizes = np.array([b - a + 1 for a, b in spans])
+    at = np.repeat(np.array([a for a, _ in spans]) - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+    offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, lines.take(pa.array(at, pa.int64()))), "\n")
+    blocks = pc.if_else(pa.array([f[-1] is not None for f in found]), joined, pa.scalar(None, pa.string()))
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
+    return pa.RecordBatch.from_arrays([*[pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], blocks],
+                                      ["file", "split_start", "seen", "ends", "lead", "tail", "block"])
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blank-line separated blocks of Latin-1 text files: file, block_no (from 1 in each file), block.
 
     Spark splits files into lines, whatever their line ends and wherever a task begins. A block begins at a
-    line with text after a blank line or at the start of the file. Begins are counted inside each split and
-    the counts of the splits before are added, so numbers do not depend on how the file was split, and no
-    task sees a whole file.
+    line with text after a blank line or at the start of the file. Every task puts the lines of its splits together, in the
+    order in which it reads them, so lines are never shuffled; only what touches an end of a split meets
+    its other parts. Begins are counted inside each split and the counts of the splits before are added, so numbers do not
+    depend on how the file was split, and no task sees a whole file.
     """
     lines = (spark.read.text(path)
-             .select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"), F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("split_start"))
-             .withColumn("pos", F.monotonically_increasing_id())
-             .withColumn("text", (strip(F.col("line")) != "").cast("int")))
-    in_split = Window.partitionBy("file", "split_start").orderBy("pos")
-    # the first line of a split begins a block here only if it is the file's; corrected below
-    begins = (F.col("text") == 1) & (F.coalesce(F.lag("text").over(in_split), F.lit(1)) == 0)
-    marked = lines.withColumn("begin", begins.cast("int")).withColumn("seen", F.sum("begin").over(in_split))
-    splits = marked.groupBy("file", "split_start").agg(
-        F.sum("begin").alias("n"), F.min_by("text", "pos").alias("first"), F.max_by("text", "pos").alias("last"))
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"),
+                     F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"))
+             .withColumn("text", strip(F.col("line")) != ""))
+    pieces = materialize(lines.mapInArrow(_pieces, PIECES), "pieces")
+    # one row per split
     by_split = Window.partitionBy("file").orderBy("split_start")
-    entered = F.when((F.col("first") == 1) & (F.coalesce(F.lag("last").over(by_split), F.lit(0)) == 0), 1).otherwise(0)
-    splits = splits.withColumn("entered", entered)
-    before = F.coalesce(F.sum(F.col("n") + F.col("entered")).over(by_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = splits.select("file", "split_start", (before + F.col("entered")).alias("offset"))
-    numbered = (marked.filter("text = 1").join(offsets, ["file", "split_start"])
-                .select("file", (F.col("offset") + F.col("seen")).alias("block_no"), F.struct("split_start", "pos", "line").alias("l")))
-    whole = numbered.groupBy("file", "block_no").agg(F.sort_array(F.collect_list("l")).alias("l"))
-    return whole.select("file", "block_no", strip(F.array_join("l.line", "\n")).alias("block"))
+    splits = pieces.filter("block is null").withColumn(
+        "entered", (F.col("lead") & ~F.coalesce(F.lag("tail").over(by_split), F.lit(False))).cast("bigint"))
+    before = F.coalesce(F.sum(F.col("seen") + F.col("entered")).over(by_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = materialize(splits.select("file", "split_start", (before + F.col("entered")).alias("offset")), "offsets")
+    numbered = (pieces.filter("block is not null").join(F.broadcast(offsets), ["file", "split_start"])
+                .select("file", (F.col("offset") + F.col("seen")).alias("block_no"), "split_start", "block", (F.col("ends") | F.col("lead")).alias("edge")))
+    cut = numbered.filter("edge").groupBy("file", "block_no").agg(F.sort_array(F.collect_list(F.struct("split_start", "block"))).alias("l"))
+    whole = numbered.filter("not edge").select("file", "block_no", "block").unionAll(cut.select("file", "block_no", F.array_join("l.block", "\n")))
+    return whole.select("file", "block_no", strip(F.col("block")).alias("block"))
 
 
 def _is_request(block: Column) -> Column:
