@@ -57,3 +57,23 @@ def test_null_ids_repeated_rows_and_clashing_names(spark, odd):
     # rows 8, 9, 10 are alike; 5 and 4 stand alone; 6, 100 are equal, 7 has the same words
     assert sorted(r["doc_id"] for r in found.collect() if r["doc_id"] is not None) == [-5, 1, 4, 5, 6, 8, 50]
     assert similar.keep_one(odd.limit(0)).count() == 0
+
+
+def test_fingerprints_join_copies_and_the_forest_leaves_joined_texts_alone(spark):
+    from trafficlens.llm import forest
+    draw = random.Random(8)
+    base = [f"t{draw.randrange(3000)}" for _ in range(300)]
+    rows = [(k, " ".join(edited(draw, base, draw.sample(range(10, 290, 10), 1)))) for k in range(200)]
+    # the same runs in another form: one fingerprint
+    rows += [(1000 + k, rows[k][1].upper()) for k in range(50)] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert similar.fingerprint_pairs(docs).count() >= 50
+    like = forest.Likeness(similar.WORDS, similar.LEAST)
+    sketches = forest.sketched(docs, like).groupBy("node").agg({"n": "max", "pool": "max"}).toDF("node", "n", "pool")
+    counts = []
+    for nodes in (sketches, sketches.selectExpr("*", "unhex('01') as part"), sketches.selectExpr("*", "if(n > 0, node, null) as part")):
+        pairs, crowded = forest.candidates(forest.ordered_neighbours(nodes, like), like)
+        counts.append((pairs.count(), crowded.count()))
+    # all in one component: nothing left; all in components of their own: as without
+    assert counts[1] == (0, 0) and counts[0] == counts[2] and counts[0][0] > 1000
+    assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == [0, 2000]

@@ -8,6 +8,10 @@ at most TINY members is compared in full; a crowded one is compared with one cen
 minimum, until its parts are tiny or signatures end. The number of trees follows from the least similarity, so
 that a pair at it shares no region with probability at most MISS.
 
+Trees come in two rounds. The links that the first ones find are confirmed and joined to components at once; the others
+look for pairs of different components only, and leave out regions whose members are all in one. A large group of near
+copies is so compared with a few centres instead of one in every tree and at every depth.
+
 What depth alone would lose in crowded regions is made good: members that the links found so far leave outside
 the largest component of their region are compared with all others of it, in blocks of bounded size. Nothing is
 capped. A link is confirmed on the whole sets; components are those of all links in regions.
@@ -38,6 +42,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEPTH, DEEPEST = 4, 8
 MISS = 1e-6
+# trees of the first round
+FIRST_TREES = 2
 # members of a region that are compared in full
 TINY = 8
 # parts of a crowded region's rows in joins
@@ -160,12 +166,13 @@ def row_order() -> Column:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in sorted order, those that share DEPTH minima with the one before or after, and the node before where they do.
+    """Of rows in sorted order, those that share DEPTH minima with the one before or after, and what the one before has in
+    the columns from `node` on where they do.
 
     The ends of a partition have neighbours elsewhere: they stay.
     """
     # the last row so far waits for the one after it
-    held, held_before, first = None, (None, None), True
+    held, held_before, first = None, (None,), True
     for batch in batches:
         if not len(batch):
             continue
@@ -173,10 +180,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint32).reshape(len(rows), -1)
         tree = rows.column(0).to_numpy()
         linked = (sig[1:, :DEPTH] == sig[:-1, :DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
-        nodes, sizes = rows.column(2), rows.column(3)
+        told = rows.columns[2:]
 
         def before(k: int) -> tuple:
-            return (nodes[k - 1].as_py(), sizes[k - 1].as_py()) if linked[k - 1] else (None, None)
+            return tuple(c[k - 1].as_py() if linked[k - 1] else None for c in told)
 
         keep = linked.copy()
         keep[1:] |= linked[:-1]
@@ -191,19 +198,28 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_before(rows: pa.RecordBatch, before: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array([b[0] for b in before], pa.binary()), pa.array([b[1] for b in before], pa.int64())]
-    return pa.RecordBatch.from_arrays([*rows.columns[:4], *columns], ["tree", "sig", "node", "n", "before", "before_n"])
+    names, told = rows.schema.names, rows.columns[2:]
+    columns = [pa.array([b[k] if b[0] is not None else None for b in before], c.type) for k, c in enumerate(told)]
+    return pa.RecordBatch.from_arrays([*rows.columns, *columns], [*names, "before", *[f"before_{n}" for n in names[3:]]])
 
 
-def ordered_neighbours(nodes: DataFrame, like: Likeness) -> DataFrame:
-    """tree, sig, node, n, before, before_n of the sets that have a neighbour in some sorted order, stored.
+def ordered_neighbours(nodes: DataFrame, like: Likeness, trees: range | None = None) -> DataFrame:
+    """tree, sig, node, n, part, before, before_n, before_part of the sets that have a neighbour in some sorted order, stored.
 
-    Orders are range-partitioned, the node last in the key, so that sets with one signature spread as well.
+    Orders are range-partitioned, the node last in the key, so that sets with one signature spread as well. `part` names the
+    component that a set is known to be in, null (or no such column) if none is known.
     """
-    trees = F.array(*[F.substring("pool", 1 + t * DEPTH * WIDTH, DEEPEST * WIDTH) for t in range(like.trees)])
-    rows = nodes.filter("n > 0").select(F.posexplode(trees).alias("tree", "sig"), "node", "n")
-    ordered = rows.repartitionByRange("tree", "sig", "node").sortWithinPartitions("tree", "sig", "node")
-    return materialize(ordered.mapInArrow(_neighbours, "tree int, sig binary, node binary, n bigint, before binary, before_n bigint"), "forest")
+    trees = range(like.trees) if trees is None else trees
+    sigs = F.array(*[F.substring("pool", 1 + t * DEPTH * WIDTH, DEEPEST * WIDTH) for t in trees])
+    part = F.col("part") if "part" in nodes.columns else F.lit(None).cast("binary")
+    rows = nodes.filter("n > 0").select(F.posexplode(sigs).alias("tree", "sig"), "node", "n", part.alias("part"))
+    ordered = rows.withColumn("tree", F.col("tree") + trees.start).repartitionByRange("tree", "sig", "node").sortWithinPartitions("tree", "sig", "node")
+    return materialize(ordered.mapInArrow(_neighbours, "tree int, sig binary, node binary, n bigint, part binary, before binary, before_n bigint, before_part binary"), "forest")
+
+
+def _apart(a: str, b: str) -> Column:
+    """Whether two sets are not known to be in one component."""
+    return ~F.coalesce(F.col(a) == F.col(b), F.lit(False))
 
 
 def _pairs(a: str, b: str) -> list[Column]:
@@ -220,22 +236,26 @@ def _salts() -> Column:
 
 def candidates(forest: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     """(pairs, crowded): candidate pairs (a, b) with a < b, and the members (key, node, n) of regions that are too
-    large to be compared in full at DEPTH."""
-    found = [forest.filter(F.col("before").isNotNull() & like.fits(F.col("n"), F.col("before_n"))).select(*_pairs("node", "before"))]
-    rows, crowded = forest.select("tree", "sig", "node", "n"), None
+    large to be compared in full at DEPTH. Both leave out what is known to be in one component."""
+    found = [forest.filter(F.col("before").isNotNull() & like.fits(F.col("n"), F.col("before_n")) & _apart("part", "before_part")).select(*_pairs("node", "before"))]
+    rows, crowded = forest.select("tree", "sig", "node", "n", "part"), None
     for depth in range(DEPTH, DEEPEST + 1):
         level = rows.withColumn("key", F.xxhash64("tree", F.substring("sig", 1, depth * WIDTH)))
         # another centre in every tree, so that their stars overlap
-        centre = F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("c"), F.col("n").alias("m")))
-        large = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), centre.alias("_c")).filter(F.col("size") > TINY)
-        spread = large.select("key", "_c.c", "_c.m", _salts().alias("salt"))
-        level = materialize(level.withColumn("salt", _salt("node")).join(spread, ["key", "salt"], "left").drop("salt"), "level")
-        tiny = level.filter("c is null").select("key", "node", "n")
-        other = tiny.select("key", F.col("node").alias("other"), F.col("n").alias("m"))
-        found.append(tiny.join(other, "key").filter((F.col("node") < F.col("other")) & like.fits(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("other").alias("b")))
+        centre = F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("c"), F.col("n").alias("m"), F.col("part").alias("p")))
+        size = F.count(F.lit(1))
+        joined = (F.count("part") == size) & (F.min("part") == F.max("part"))
+        large = level.groupBy("key").agg(size.alias("size"), centre.alias("_c"), joined.alias("joined")).filter(F.col("size") > TINY)
+        spread = large.select("key", "_c.c", "_c.m", "_c.p", "joined", _salts().alias("salt"))
+        level = level.withColumn("salt", _salt("node")).join(spread, ["key", "salt"], "left").drop("salt")
+        level = materialize(level.filter("joined is null or not joined").drop("joined"), "level")
+        tiny = level.filter("c is null").select("key", "node", "n", "part")
+        other = tiny.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"))
+        met = (F.col("node") < F.col("other")) & like.fits(F.col("n"), F.col("m")) & _apart("part", "other_part")
+        found.append(tiny.join(other, "key").filter(met).select(F.col("node").alias("a"), F.col("other").alias("b")))
         rest = level.filter("c is not null")
-        found.append(rest.filter((F.col("node") != F.col("c")) & like.fits(F.col("n"), F.col("m"))).select(*_pairs("node", "c")))
-        rows = rest.select("tree", "sig", "node", "n")
+        found.append(rest.filter((F.col("node") != F.col("c")) & like.fits(F.col("n"), F.col("m")) & _apart("part", "p")).select(*_pairs("node", "c")))
+        rows = rest.select("tree", "sig", "node", "n", "part")
         if crowded is None:
             crowded = rest.select("key", "node", "n")
         if not rows.limit(1).count():
@@ -308,21 +328,41 @@ class Classes:
     nodes: DataFrame
 
 
-def classes(docs: DataFrame, like: Likeness) -> Classes:
+def classes(docs: DataFrame, like: Likeness, proposed: Callable[[DataFrame], DataFrame] | None = None) -> Classes:
+    """Components of all links. `proposed` may give further candidate pairs (a, b) of nodes, which are confirmed in the first round."""
     with scratch(docs.sparkSession) as keep:
         rows = keep(sketched(docs, like))
         nodes = materialize(rows.groupBy("node").agg(F.min(row_order()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("pool").alias("pool")), "nodes")
-        return Classes(rows.drop("pool"), keep(_classified(docs, nodes, like)))
+        return Classes(rows.drop("pool"), keep(_classified(docs, nodes, like, proposed(docs) if proposed else None)))
 
 
-def _classified(docs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
-    pairs, crowded = candidates(ordered_neighbours(nodes, like), like)
-    # one row of every text that is to be compared; the others never move
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(crowded.select("node")).distinct()
+def _sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame, like: Likeness) -> DataFrame:
+    """node, runs of the nodes asked for, stored: one row of every text that is to be compared; the others never move."""
     firsts = nodes.join(asked, "node", "left_semi").select("first.i", "first.t", "node").withColumnsRenamed({"i": "_id", "t": "_text"})
     texts = based(docs).select("_id", "_text", "_data").join(firsts, ["_id", "_text"]).select("node", "_data")
-    sets = materialize(texts.mapInArrow(_sets(like.words), "node binary, runs array<bigint>").dropDuplicates(["node"]), "sets")
+    return materialize(texts.mapInArrow(_sets(like.words), "node binary, runs array<bigint>").dropDuplicates(["node"]), "sets")
+
+
+def _asked(pairs: DataFrame, crowded: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(crowded.select("node")).distinct()
+
+
+def _classified(docs: DataFrame, nodes: DataFrame, like: Likeness, proposed: DataFrame | None) -> DataFrame:
+    pairs, crowded = candidates(ordered_neighbours(nodes, like, range(FIRST_TREES)), like)
+    if proposed is not None:
+        pairs = materialize(pairs.unionAll(proposed.select(*_pairs("a", "b"))).distinct(), "pairs")
+    sets = _sets_of(docs, nodes, _asked(pairs, crowded), like)
     roots = components(confirmed(pairs, sets, like))
+    # the other trees look for what is not joined yet
+    roots = materialize(roots, "parts")
+    parted = nodes.join(roots.withColumnRenamed("root", "part"), "node", "left")
+    pairs, more_crowded = candidates(ordered_neighbours(parted, like, range(FIRST_TREES, like.trees)), like)
+    asked = _asked(pairs, more_crowded).join(sets, "node", "left_anti")
+    sets = sets.unionAll(_sets_of(docs, nodes, asked, like))
+    crowded = crowded.unionAll(more_crowded)
+    # a node and the root of its part stand for the links of the first round
+    known = roots.select(*_pairs("node", "root"))
+    roots = components(known.unionAll(confirmed(pairs, sets, like)))
     more = components(outside_links(crowded, roots, sets, like))
     above = more.select(F.col("node").alias("root"), F.col("root").alias("_top"))
     named = nodes.drop("pool").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
