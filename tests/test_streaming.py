@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from trafficlens.config import DEFAULT, ModelSettings
 from trafficlens.operators import extras, mitigation
@@ -149,6 +150,91 @@ def test_spans_merge():
     assert sessions.merged([(14.0, 20.0), (110.0, 111.0)], times, 10.0) == [(5.0, 20.0), (90.0, 90.0), (100.0, 111.0)]
 
 
+class FakeState:
+    """The state of one key: its list, its value and its timers, with the number of reads of the list."""
+
+    def __init__(self):
+        self.items, self.value, self.timers, self.reads = [], None, set(), 0
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return FakeValue(self)
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.items))
+
+    def appendValue(self, row):
+        self.items.append(row)
+
+    def appendList(self, rows):
+        self.items += rows
+
+    def put(self, rows):
+        self.items = list(rows)
+
+    def clear(self):
+        self.items = []
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class FakeValue:
+    def __init__(self, state):
+        self.state = state
+
+    def exists(self):
+        return self.state.value is not None
+
+    def get(self):
+        return self.state.value
+
+    def update(self, row):
+        self.state.value = row
+
+    def clear(self):
+        self.state.value = None
+
+
+def fire(processor, state, watermark):
+    """Timers as the engine fires them: those there at the start, in order, each deleted after its call."""
+    found = []
+    for at in sorted(t for t in state.timers if t < watermark):
+        found += processor.handleExpiredTimer(("k",), TimerValues(0, watermark), ExpiredTimerInfo(at))
+        processor.handle.deleteTimer(at)
+    return pd.concat(found) if found else pd.DataFrame(columns=["key", "start_ms", "payload"])
+
+
+def test_rows_of_a_key_are_read_once_however_many_sessions_end():
+    state = FakeState()
+    processor = sessions.OpenSessions(10.0)
+    processor.init(state)
+    # 50 sessions of 20 rows, 200 apart, dealt over two chunks, and one row without a time
+    rows = [(200.0 * s + 5 * i, f"{s}:{i}") for i in range(20) for s in range(50)] + [(float("nan"), "none")]
+    chunks = [pd.DataFrame(rows[k::2], columns=["at", "payload"]) for k in (0, 1)]
+    processor.handleInputRows(("k",), iter(chunks), None)
+    assert len(state.items) == 2 and state.timers == {105}
+    assert len(fire(processor, state, 105)) == 0
+    ended = fire(processor, state, 3990)
+    assert state.reads == 1 and len(state.timers) == 1
+    assert sorted(zip(ended["start_ms"], ended["payload"])) == sorted((200.0 * s, f"{s}:{i}") for s in range(20) for i in range(20))
+    # two rows that the next session begins with
+    before = len(state.items)
+    processor.handleInputRows(("k",), iter([pd.DataFrame({"at": [3999.0, 3995.5], "payload": ["x", "y"]})]), None)
+    assert len(state.items) == before + 1
+    assert state.timers == {4105}
+    rest = fire(processor, state, 10_000)
+    assert sorted(rest["payload"][rest["start_ms"] == 3995.5]) == sorted([*(f"20:{i}" for i in range(20)), "x", "y"])
+    assert state.reads == 2 and not state.timers and not state.items and state.value is None
+    assert len(rest) + len(ended) == 1002
+
+
 DECISIONS = [("a", "block", 0), ("a", "block", 1_000_000), ("a", "monitor", 2_000_000), ("a", "block", 4_500_000),
              ("a", "block", 9_000_000), ("b", "block", 500), ("b", "block", 3_600_499), ("c", "allow", 1)]
 

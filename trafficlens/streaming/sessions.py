@@ -12,6 +12,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,10 +34,11 @@ ROWS_OUT = "key string, start_ms double, payload string"
 
 def merged(spans: list[tuple[float, float]], times: pd.Series, gap_ms: float) -> list[tuple[float, float]]:
     """Spans (first, last) after more requests: those less than a gap apart are one."""
-    ordered = times.sort_values()
-    runs = ordered.groupby((ordered.diff() >= gap_ms).cumsum()).agg(["min", "max"])
+    ordered = np.sort(times.dropna().to_numpy(float))
+    cuts = np.flatnonzero(np.diff(ordered) >= gap_ms)
+    runs = zip(ordered[np.append(0, cuts + 1)].tolist(), ordered[np.append(cuts, -1)].tolist()) if len(ordered) else ()
     found: list[tuple[float, float]] = []
-    for first, last in sorted([*spans, *runs.itertuples(index=False, name=None)]):
+    for first, last in sorted([*spans, *runs]):
         if found and first - found[-1][1] < gap_ms:
             found[-1] = (found[-1][0], max(found[-1][1], last))
         else:
@@ -45,54 +47,71 @@ def merged(spans: list[tuple[float, float]], times: pd.Series, gap_ms: float) ->
 
 
 class OpenSessions(StatefulProcessor):
-    """Per key: rows of open sessions as they came, and the spans they form."""
+    """Per key: rows of open sessions as they came, and the spans they form.
+
+    Rows that came together are one element of the list, and a key has one timer, for the first of its sessions that ends. It
+    gives out all sessions that the watermark has passed, so the rows of a key are read once a batch however many sessions they form.
+    """
 
     def __init__(self, gap_ms: float):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "at double, payload string")
+        self.rows = handle.getListState("rows", "at array<double>, payload array<string>")
         self.spans = handle.getValueState("spans", "firsts array<double>, lasts array<double>")
 
     def _known(self) -> list[tuple[float, float]]:
-        return list(zip(*self.spans.get())) if self.spans.exists() else []
+        found = self.spans.get()
+        return list(zip(*found)) if found else []
 
     def _keep(self, spans: list[tuple[float, float]]) -> None:
-        self.spans.update(([float(a) for a, _ in spans], [float(b) for _, b in spans]))
+        self.spans.update(([a for a, _ in spans], [b for _, b in spans]))
 
     def _end(self, last: float) -> int:
         """The first whole millisecond at which nothing can join a session any more."""
         return int(-(-(last + self.gap_ms) // 1))
 
+    def _first_end(self, spans: list[tuple[float, float]]) -> list[int]:
+        return [self._end(spans[0][1])] if spans else []
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         before = self._known()
         spans = before
         for chunk in rows:
-            self.rows.appendList(list(zip(chunk["at"].tolist(), chunk["payload"].tolist())))
+            self.rows.appendValue((chunk["at"].tolist(), chunk["payload"].tolist()))
             spans = merged(spans, chunk["at"], self.gap_ms)
         self._keep(spans)
-        ends, old = {self._end(b) for _, b in spans}, {self._end(b) for _, b in before}
-        for end in old - ends:
-            self.handle.deleteTimer(end)
-        for end in ends - old:
-            self.handle.registerTimer(end)
+        old, new = self._first_end(before), self._first_end(spans)
+        if old != new:
+            for end in old:
+                self.handle.deleteTimer(end)
+            for end in new:
+                self.handle.registerTimer(end)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, spans = expiredTimerInfo.getExpiryTimeInMs(), self._known()
+        now, spans = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._known()
+        # spans are in order and a gap apart, so those that have ended come first
         done = [s for s in spans if self._end(s[1]) <= now]
         if not done:
             return
-        rows = pd.DataFrame(list(self.rows.get()), columns=["at", "payload"])
-        for first, last in done:
-            inside = rows[(rows["at"] >= first) & (rows["at"] <= last)]
-            yield pd.DataFrame({"key": key[0], "start_ms": first, "payload": inside["payload"]})
-            rows = rows.drop(inside.index)
-        left = [s for s in spans if s not in done]
-        if left:
-            self.rows.put(list(rows.itertuples(index=False, name=None)))
-            self._keep(left)
+        firsts, last = np.array([a for a, _ in done]), done[-1][1]
+        left = []
+        for times, payloads in self.rows.get():
+            at, payload = np.array(times, float), np.array(payloads, object)
+            ended = at <= last
+            if ended.any():
+                starts = firsts[np.searchsorted(firsts, at[ended], "right") - 1]
+                yield pd.DataFrame({"key": key[0], "start_ms": starts, "payload": payload[ended]})
+            if not ended.all():
+                left.append((at[~ended].tolist(), payload[~ended].tolist()))
+        spans = spans[len(done):]
+        if spans:
+            self.rows.put(left)
+            self._keep(spans)
+            for end in self._first_end(spans):
+                self.handle.registerTimer(end)
         else:
             self.rows.clear()
             self.spans.clear()
@@ -130,7 +149,7 @@ def open_session_rows(spark: SparkSession, checkpoint: str, config: Settings = D
     """(key, start_ms, payload) of the sessions that the stopped stream of this checkpoint still holds."""
     state = (spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "rows")
              .option("flattenCollectionTypes", "true").load())
-    rows = state.select(F.col("key.key").alias("key"), F.col("list_element.at").alias("at"), F.col("list_element.payload").alias("payload"))
+    rows = state.select(F.col("key.key").alias("key"), F.inline(F.arrays_zip("list_element.at", "list_element.payload")))
     # few rows of a key are open at a time: what came within the delay and the gap
     ordered = Window.partitionBy("key").orderBy("at")
     gap = config.features.session_gap_seconds * 1000.0
