@@ -121,6 +121,33 @@ def test_sessions_of_labelled_files(spark):
     assert {r["status_code"] for r in normal} == {200} and {r["status_code"] for r in attack} <= {200, 400, 403, 500}
 
 
+def test_file_order_is_numbered_without_a_sort_of_all_rows(spark, monkeypatch):
+    """Runs of seven block numbers, blocks that are no requests between them, one name twice in a header: against a loop."""
+    def sorts(*_):
+        raise AssertionError("all rows are sampled and sorted")
+
+    monkeypatch.setattr(http_text, "number_rows", sorts)
+    monkeypatch.setattr(http_text, "NUMBERED_TOGETHER", 7, raising=False)
+    folder, names, want = tempfile.mkdtemp(prefix="trafficlens-test-"), HttpTextSettings(), {0: [], 1: []}
+    # files of a label are in order of their paths
+    for name, label, n in sorted(((names.normal_train_file, 0, 50), (names.normal_test_file, 0, 33), (names.anomalous_file, 1, 25))):
+        blocks = []
+        for i in range(n):
+            # no request in the third run at all
+            asked = i % 4 != 3 and not 14 <= i < 21
+            blocks.append(f"GET /{name[:8]}/{i} HTTP/1.1\nA: {i}\n a : last" if asked else f"note {i}")
+            if asked:
+                want[label].append(f"/{name[:8]}/{i}")
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("\n\n".join(blocks))
+    rows = http_text.load_sessions(spark, folder).collect()
+    for label, urls in want.items():
+        found = sorted((r for r in rows if r["label"] == label), key=lambda r: r["row_no"])
+        assert [(r["row_no"], r["url"]) for r in found] == list(enumerate(urls, 1))
+        assert [r["session_id"] for r in found] == [found[k // 20 * 20]["session_id"] for k in range(len(found))]
+    assert {str(r["headers"]) for r in rows} == {str({"a": "last"})}
+
+
 def test_caps_shuffle_and_features(spark):
     folder = _folder()
     capped = http_text.load_sessions(spark, folder, max_normal=1, max_anomalous=1)

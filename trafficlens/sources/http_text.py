@@ -30,10 +30,19 @@ BLOCK_ORDER = ("file", "block_no")
 SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0"
 
 
+# blocks of a file that are numbered in one window
+NUMBERED_TOGETHER = 10_000
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def is_blank(text: Column) -> Column:
+    # the left end decides: a line with text is not looked through to its end
+    return F.ltrim(text, F.lit(SPACES)) == ""
+
+
 PIECES = "file string, split_start bigint, seen bigint, ends boolean, lead boolean, tail boolean, block string"
 
 
@@ -123,7 +132,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     lines = (spark.read.text(path)
              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"),
                      F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"))
-             .withColumn("text", strip(F.col("line")) != ""))
+             .withColumn("text", ~is_blank(F.col("line"))))
     pieces = materialize(lines.mapInArrow(_pieces, PIECES), "pieces")
     # one row per split
     by_split = Window.partitionBy("file").orderBy("split_start")
@@ -163,7 +172,7 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     lines = F.split(F.col("block"), "\n")
     words = F.split(strip(F.substring_index("block", "\n", 1)), " ", 3)
     rest = F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))
-    blank = F.array_position(F.transform("_rest", lambda x: strip(x) == ""), True)
+    blank = F.array_position(F.transform("_rest", is_blank), True)
     head = F.when(F.col("_blank") > 0, F.slice("_rest", F.lit(1), F.col("_blank").cast("int") - 1)).otherwise(F.col("_rest"))
     tail = F.when(F.col("_blank") > 0, F.slice("_rest", F.col("_blank").cast("int") + 1, F.size("_rest"))).otherwise(
         F.array().cast("array<string>"))
@@ -172,14 +181,17 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
         return F.struct(F.lower(strip(F.substring_index(line, ":", 1))).alias("key"),
                         strip(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("value"))
 
+    def first_of_name(head: Column) -> Column:
+        # names as a field of a bound variable are listed once a block; as a column they would be put together for every pair
+        return F.filter(head["_pairs"], lambda p, i: F.array_position(head["keys"], p["key"]) == i + 1)
+
     parsed = (blocks
               .withColumn("_lines", lines).withColumn("_words", words)
               .filter((F.size("_words") >= 2) & F.upper(F.get("_words", F.lit(0))).isin(*METHODS))
               .withColumn("_rest", rest).withColumn("_blank", blank)
               # newest first, and of every name the first one is kept
               .withColumn("_pairs", F.reverse(F.transform(F.filter(head, lambda x: F.contains(x, F.lit(":"))), pair)))
-              .withColumn("_keys", F.col("_pairs.key"))
-              .withColumn("_pairs", F.filter("_pairs", lambda p, i: F.array_position(F.col("_keys"), p["key"]) == i + 1)))
+              .withColumn("_pairs", F.get(F.transform(F.array(F.struct("_pairs", F.col("_pairs.key").alias("keys"))), first_of_name), F.lit(0))))
     return (parsed
             .withColumn("headers", F.map_from_entries("_pairs"))
             .withColumn("body", strip(F.array_join(tail, "\n")))
@@ -307,6 +319,23 @@ def numbered_by_label(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     return numbered.join(F.broadcast(firsts), "label").withColumn("row_no", F.col("row_no") - F.col("_first") + 1).drop("_first")
 
 
+def numbered_in_files(rows: DataFrame) -> DataFrame:
+    """Adds row_no, 1-based within each label, to stored rows of files, in order of file and block number.
+
+    A block number says where a row lies, so rows are counted in runs of block numbers and numbered inside their run:
+    nothing is sorted as a whole, and the order needs no sample.
+    """
+    run = ["label", "file", "_run"]
+    placed = rows.withColumn("_run", F.floor(F.col("block_no") / NUMBERED_TOGETHER))
+    # one row per run
+    before = Window.partitionBy("label").orderBy("file", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*run).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = materialize(counts.select(*run, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")), "offsets")
+    inside = F.row_number().over(Window.partitionBy(*run).orderBy("block_no"))
+    return (placed.join(F.broadcast(offsets), run)
+            .select("label", *[c for c in rows.columns if c != "label"], (inside + F.col("_before")).alias("row_no")))
+
+
 def labelled_sessions(numbered: DataFrame, session_size: int, seed: int, caps: dict[int, int | None] | None = None) -> DataFrame:
     """Pseudo-sessions of rows numbered by label, each label with its own kind of sessions."""
     sides = []
@@ -321,12 +350,15 @@ def load_sessions(spark: SparkSession, folder: str, config: Settings = DEFAULT,
                   shuffle: bool = False) -> DataFrame:
     """Labelled files to request rows with sessions, in file order or in a seeded order."""
     h = config.http_text
-    loaded = load_labelled(spark, folder, config)
-    order = [F.col(c) for c in BLOCK_ORDER]
+    # stored first: numbering reads the rows more than once, and text is parsed once
+    loaded = materialize(load_labelled(spark, folder, config), "loaded")
     if shuffle:
         # by content: the folder of the files plays no part
-        order = [F.md5(F.concat_ws("|", "block_no", "method", "url", "user_agent", "body", F.lit(str(h.seed))).cast("binary")), *order]
-    return labelled_sessions(numbered_by_label(loaded, order), h.session_size, h.seed, {0: max_normal, 1: max_anomalous})
+        mixed = F.md5(F.concat_ws("|", "block_no", "method", "url", "user_agent", "body", F.lit(str(h.seed))).cast("binary"))
+        numbered = numbered_by_label(loaded, [mixed, *[F.col(c) for c in BLOCK_ORDER]])
+    else:
+        numbered = numbered_in_files(loaded)
+    return labelled_sessions(numbered, h.session_size, h.seed, {0: max_normal, 1: max_anomalous})
 
 
 def render_blocks(requests: DataFrame) -> DataFrame:
